@@ -149,7 +149,9 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int], di
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces, begins, histogram = ranked(cut(docs, path or default_path("word_bpe_49k.json"), size, end_id, doc_id, text))
+    # written first: dealing out by ranges reads its input twice
+    pieces = written(cut(docs, path or default_path("word_bpe_49k.json"), size, end_id, doc_id, text), "cut")
+    pieces, begins, histogram = ranked(pieces)
     slots = pieces.sparkSession.sparkContext.broadcast((places(patterns(histogram, size)), begins))
 
     def run(batches):
