@@ -61,14 +61,16 @@ class Compressors:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes: int) -> list[tuple[bytes, int]]:
-    rows = docs.join(labels, "doc_id").where("text is not null and text <> ''")
-    pick = []
+    """Whole texts of at most ``max_docs`` rows and ``max_bytes`` bytes for each label; ids are picked before any text is moved."""
+    ids = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    picked = None
     for y in (0, 1):
-        own = rows.where(F.col("y") == y).select("y", F.col("text").cast("binary").alias("data"), F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n"))
-        first = own.select("h", "n", "y", "data").orderBy("h", "n").limit(max_docs)
-        sums = first.withColumn("sum", F.sum("n").over(Window.partitionBy("y").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)))
-        pick += [(bytes(r.data), y) for r in sums.where(F.col("sum") <= max_bytes).orderBy("h", "n").collect()]
-    return pick
+        own = ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(max_docs)
+        picked = own if picked is None else picked.unionByName(own)
+    rows = docs.join(F.broadcast(picked), "doc_id").where("text is not null and text <> ''")  # 2 * max_docs ids at most
+    rows = rows.select("y", F.col("text").cast("binary").alias("data"), "h", F.octet_length("text").alias("n"))
+    sums = rows.withColumn("sum", F.sum("n").over(Window.partitionBy("y").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)))
+    return [(bytes(r.data), r.y) for r in sums.where(F.col("sum") <= max_bytes).orderBy("y", "h", "n").collect()]
 
 
 def features(difference: np.ndarray, size: np.ndarray) -> np.ndarray:
