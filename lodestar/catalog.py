@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import analytics_queries, search_queries, vector_queries  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return SQL
