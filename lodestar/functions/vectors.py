@@ -39,37 +39,42 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n < 1e-8, 0.0).otherwise(dot(a, b) / n)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, also where f uses it inside a lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def scale(a: Column, k: Column | float) -> Column:
-    return F.transform(a, lambda x: x * k)
+    return let(F.lit(k) if isinstance(k, (int, float)) else k, lambda c: F.transform(a, lambda x: x * c))
 
 
 def normalise(a: Column) -> Column:
     """Projection to the unit sphere; a zero vector stays zero."""
-    return scale(a, 1.0 / (norm(a) + 1e-8))
+    return let(a, lambda v: scale(v, 1.0 / (norm(v) + 1e-8)))
 
 
 def geodesic(a: Column, b: Column) -> Column:
     """Arc length between unit vectors; 0 when they nearly coincide."""
-    d = dot(a, b)
-    return F.when(d > 1 - 1e-5, 0.0).otherwise(F.acos(F.least(F.greatest(d, F.lit(-1 + 1e-7)), F.lit(1 - 1e-7))))
+    return let(dot(a, b), lambda d: F.when(d > 1 - 1e-5, 0.0).otherwise(F.acos(F.least(F.greatest(d, F.lit(-1 + 1e-7)), F.lit(1 - 1e-7)))))
 
 
 def tangent(v: Column, x: Column) -> Column:
     """v without its part along x."""
-    d = dot(v, x)
-    return F.zip_with(v, x, lambda p, q: p - d * q)
+    return let(v, lambda a: let(x, lambda b: let(dot(a, b), lambda d: F.zip_with(a, b, lambda p, q: p - d * q))))
 
 
 def exp_map(x: Column, v: Column) -> Column:
-    n = norm(v)
-    moved = F.zip_with(x, v, lambda p, q: F.cos(n) * p + F.sin(n) * q / n)
-    return F.when(n < 1e-10, x).otherwise(moved)
+    def moved(a, b, n):
+        return F.when(n < 1e-10, a).otherwise(F.zip_with(a, b, lambda p, q: F.cos(n) * p + F.sin(n) * q / n))
+
+    return let(x, lambda a: let(v, lambda b: let(norm(b), lambda n: moved(a, b, n))))
 
 
 def log_map(x: Column, y: Column) -> Column:
-    t = tangent(y, x)
-    n, d = norm(t), geodesic(x, y)
-    return F.when(n < 1e-10, scale(x, 0.0)).otherwise(scale(t, d / n))
+    def along(t, d, n):
+        return F.when(n < 1e-10, scale(t, 0.0)).otherwise(scale(t, d / n))
+
+    return let(x, lambda a: let(y, lambda b: let(tangent(b, a), lambda t: along(t, geodesic(a, b), norm(t)))))
 
 
 def matryoshka(a: Column, d: int) -> Column:

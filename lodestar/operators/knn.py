@@ -99,6 +99,60 @@ def centroids(vectors: DataFrame, cluster: str, vec: str = "embedding") -> DataF
     return rows.select("cluster", F.transform("c", lambda s: s.x).alias("center"), "n")
 
 
+#: Centers that become literals of a plan; a model has few, whatever the table holds.
+MAX_CENTERS = 4096
+
+
+def center_table(centers: DataFrame) -> Column:
+    """The centers as one array of (center, cluster), of a checked size."""
+    rows = centers.select("cluster", "center").limit(MAX_CENTERS + 1).collect()
+    if len(rows) > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} centers: join them instead")
+    return F.array(*[F.struct(literal(r.center).alias("center"), F.lit(r.cluster).alias("cluster")) for r in sorted(rows, key=lambda r: r.cluster)])
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, group: str, vec: str = "embedding", qid: str = "qid") -> DataFrame:
+    """(qid, group, similarity): the largest cosine of each query and group; each Arrow batch passes on its own largest."""
+    if queries.count() > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries: take them in blocks")
+    rows = queries.select(F.col(qid).cast("long"), V.vec(vec)).collect()
+    held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
+
+    def run(batches):
+        ids, q = held.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            g = b.column(0).to_numpy()
+            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(g), -1)
+            s = 1.0 - _distances(q, x, "cosine")
+            for k in np.unique(g):
+                yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), k, dtype=np.int64)), pa.array(s[:, g == k].max(axis=1))], names=["qid", "g", "similarity"])
+
+    found = vectors.select(F.col(group).cast("long"), F.col(vec).cast("array<float>")).mapInArrow(run, "qid long, g long, similarity double")
+    return found.groupBy(F.col("qid").alias(qid), F.col("g").cast(vectors.schema[group].dataType).alias(group)).agg(F.max("similarity").alias("similarity"))
+
+
+def all_similarities(vectors: DataFrame, queries: DataFrame, vec: str = "embedding", key: str = "vec_id", qid: str = "qid") -> DataFrame:
+    """(qid, key, similarity) of a bounded query set against every row; nothing is shuffled."""
+    if queries.count() > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries: take them in blocks")
+    rows = queries.select(F.col(qid).cast("long"), V.vec(vec)).collect()
+    held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
+
+    def run(batches):
+        ids, q = held.value
+        for b in batches:
+            if b.num_rows and len(ids):
+                keys = b.column(0).to_numpy()
+                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
+                s = 1.0 - _distances(q, x, "cosine")
+                yield pa.record_batch([pa.array(np.repeat(ids, len(keys))), pa.array(np.tile(keys, len(ids))), pa.array(s.ravel())], names=["qid", "key", "similarity"])
+
+    out = vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<float>")).mapInArrow(run, "qid long, key long, similarity double")
+    return out.select(F.col("qid").alias(qid), F.col("key").alias(key), "similarity")
+
+
 def ivf_search(vectors: DataFrame, centers: DataFrame, query: list[float], k: int, n_probe: int, cluster: str, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """Exact search inside the n_probe clusters with the nearest centers."""
     q = literal(validated(query, k))

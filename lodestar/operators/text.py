@@ -14,6 +14,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(1))
 
 
+def re_tokens(text: str) -> list[str]:
+    """The same tokens of a Python string."""
+    import re
+
+    return re.findall(TOKEN, text.lower())
+
+
+def where_all(rows: DataFrame, **wanted: str | None) -> DataFrame:
+    """Rows that match every given column; None is no constraint."""
+    for c, v in wanted.items():
+        rows = rows if v is None else rows.where(F.col(c) == v)
+    return rows
+
+
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, term, tf)."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -78,10 +92,15 @@ def decay(ts: Column, now: Column, half_life_s: float) -> Column:
     return F.exp(-0.693 * (F.unix_timestamp(now) - F.unix_timestamp(ts)) / half_life_s)
 
 
+#: Keywords of each category, in the order that decides ties.
 CATEGORIES = {
-    "decision": ["decided", "decision", "chose", "agreed"], "preference": ["prefer", "like", "favorite", "want"], "error": ["bug", "error", "fail", "crash"],
-    "task": ["todo", "task", "need to", "must"], "fact": ["is a", "defined", "means", "known"], "event": ["meeting", "event", "happened", "yesterday"],
-}
+    "decision": ["decided", "decision", "chose", "elected", "agreed", "plan"],
+    "preference": ["prefers", "likes", "loves", "favorite", "default"],
+    "project": ["project", "implement", "build", "feature", "sprint"],
+    "error": ["error", "bug", "failed", "crash", "exception", "broken"],
+    "learning": ["learned", "lesson", "discovered", "realized", "insight"],
+    "task": ["todo", "task", "pending", "reminder", "need to"],
+}
 
 
 def category(text: Column, table: dict[str, list[str]] | None = None) -> Column:
@@ -96,14 +115,19 @@ def category(text: Column, table: dict[str, list[str]] | None = None) -> Column:
     return out
 
 
-ENTITIES = {
-    "email": r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", "url": r"(https?://[^\s<>\"]+)", "date": r"([0-9]{4}-[0-9]{2}-[0-9]{2})", "money": r"([$€£][0-9]+(?:[.,][0-9]+)*)",
-}
+#: Patterns of structural entities, as (kind, pattern).
+ENTITIES = [
+    ("contact", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"),
+    ("url", r"(https?://[^\s<>\"]+|www\.[^\s<>\"]+)"),
+    ("contact", r"(\d{3}[-.]?\d{3}[-.]?\d{4})"),
+    ("date", r"(\d{4}-\d{2}-\d{2})"),
+    ("money", r"(\$\d+(?:,\d{3})*(?:\.\d{2})?)"),
+]
 
 
 def entities(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, entity, n): structural entities by lower-cased form."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(1)).alias("m")) for k, p in ENTITIES.items()])
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(1)).alias("m")) for k, p in ENTITIES])
     rows = docs.select(key, F.explode(found).alias("f")).select(key, F.col("f.kind").alias("kind"), F.explode("f.m").alias("m"))
     return rows.groupBy(key, "kind", F.lower("m").alias("entity")).agg(F.count("*").alias("n"))
 
@@ -125,18 +149,16 @@ def answer_f1(predicted: Column, expected: Column) -> Column:
 
 
 def rle(data: bytes) -> bytes:
-    """Length (4 bytes, little-endian), then runs of 4 or more as FF, length, byte; FF itself always as a run."""
-    out, i = bytearray(len(data).to_bytes(4, "little")), 0
-    while i < len(data):
-        j = i
-        while j < len(data) and data[j] == data[i] and j - i < 255:
-            j += 1
-        if j - i >= 4 or data[i] == 0xFF:
-            out += bytes([0xFF, j - i, data[i]])
-        else:
-            out += data[i:j]
-        i = j
-    return bytes(out)
+    """Length (4 bytes, little-endian), then runs of 4 to 255 as FF, byte, count; FF itself always as a run."""
+    import re
+
+    out = [len(data).to_bytes(4, "little")]
+    at = 0
+    for m in re.finditer(rb"(.)\1{3,254}|\xff", data, re.S):
+        run = m[0]
+        out += [data[at : m.start()], b"\xff", run[:1], bytes([len(run)])]
+        at = m.end()
+    return b"".join([*out, data[at:]])
 
 
 def unrle(data: bytes) -> bytes:
@@ -144,7 +166,7 @@ def unrle(data: bytes) -> bytes:
     out, i = bytearray(), 4
     while i < len(data):
         if data[i] == 0xFF:
-            out += data[i + 2 : i + 3] * data[i + 1]
+            out += data[i + 1 : i + 2] * data[i + 2]
             i += 3
         else:
             out.append(data[i])
@@ -152,3 +174,73 @@ def unrle(data: bytes) -> bytes:
     if len(out) != int.from_bytes(data[:4], "little"):
         raise ValueError("the run-length data is torn")
     return bytes(out)
+
+
+#: Words that start no name, and words that may join two parts of one.
+NAME_STOP = set(
+    "el la los las un una unos unas de del a ante con en para por y o u e que es son se su lo the an and or in on at to for with is are of from by this that it as was were be been has have".split()
+)
+NAME_JOIN = {"de", "del", "la", "el", "y", "e", "u"}
+
+
+def names_in(text: str) -> dict[str, tuple[str, int]]:
+    """{lower-case form: (first form, times)}: capitalised words in a row, up to four or a little over where a joining word takes part."""
+    import re
+
+    words = re.findall(r"\b[A-Za-z0-9]+\b", text)
+    big = [len(w) > 1 and w[0].isupper() for w in words]
+    starts = [b and w.lower() not in NAME_STOP for b, w in zip(big, words)]
+    found: dict[str, tuple[str, int]] = {}
+    i = 0
+    while i < len(words):
+        end = i + 1
+        while starts[i] and end < len(words) and end - i < 4:
+            if starts[end]:
+                end += 1
+            elif words[end].lower() in NAME_JOIN and end + 1 < len(words) and big[end + 1]:
+                end += 2
+            else:
+                break
+        if starts[i]:
+            name = " ".join(words[i:end])
+            form, n = found.get(name.lower(), (name, 0))
+            found[name.lower()] = (form, n + 1)
+        i = end
+    return found
+
+
+#: Words left out, and short forms, of semantic compression.
+DENSE_STOP = set(
+    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at by from as into through during before after above below between out off over under again further then once that this these those am it its".split()
+)
+SHORT_FORMS = {
+    "information": "info", "application": "app", "configuration": "config", "database": "db", "document": "doc", "environment": "env", "management": "mgmt", "performance": "perf", "reference": "ref",
+    "administrator": "admin", "password": "pwd", "number": "num", "value": "val", "parameter": "param", "return": "ret", "request": "req", "response": "resp", "message": "msg", "transaction": "txn",
+    "authentication": "auth", "authorization": "authz", "development": "dev", "production": "prod", "staging": "stg", "television": "tv", "telephone": "tel", "please": "plz", "thank you": "thx",
+    "for example": "e.g.", "that is": "i.e.", "with respect to": "re", "versus": "vs", "through": "thru", "although": "tho", "because": "cuz", "technical": "tech", "technology": "tech",
+    "department": "dept", "experience": "exp", "education": "edu", "government": "gov", "organization": "org", "association": "assoc", "corporation": "corp", "incorporated": "inc", "university": "uni",
+}
+
+
+def dense(text: str) -> str:
+    """Short forms, no filler words but capitalised ones, single spaces, no sentence twice."""
+    import re
+
+    def short(m):
+        s = SHORT_FORMS[m[0].lower()]
+        return s[0].upper() + s[1:] if "A" <= m[0][0] <= "Z" else s
+
+    if not hasattr(dense, "pattern"):
+        dense.pattern = re.compile("(?<![A-Za-z])(?:" + "|".join(sorted(SHORT_FORMS, key=len, reverse=True)) + ")(?![A-Za-z])", re.I)
+    words = [w for w in dense.pattern.sub(short, text).split() if w[0].isupper() or w.lower() not in DENSE_STOP]
+    seen = {}
+    for s in " ".join(words).split(". "):
+        seen.setdefault(s.lower(), s)
+    return ". ".join(seen.values())
+
+
+#: Words that label no room.
+LABEL_STOP = (
+    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at by from as into through during before after above below between out off over under again further then once here there when where why how all each every both few more most other some such no nor not only own same so than too very just because but and or if while about up its it this that these those i me my we our you your he him his she her they them their what which who whom "
+    "el la los las un una unos unas de del en por para con sin sobre entre hacia hasta desde que es son fue ser estar ha han se no si su sus como más muy también pero yo tú él ella nosotros ellos esto eso ya hay puede todo"
+).split()
