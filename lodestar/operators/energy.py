@@ -66,3 +66,73 @@ def boltzmann(rows: DataFrame, energy: str, k: int, temperature: float = 1.0, se
     """k rows without replacement, weight exp(E / T): the largest Gumbel-shifted energies."""
     u = F.rand(seed)
     return rows.withColumn("g_", F.col(energy) / temperature - F.log(-F.log(u))).orderBy(F.desc("g_")).limit(k).drop("g_")
+
+
+def held_mix(mix: DataFrame) -> Column:
+    """The mixture as one array literal of (mu, a, k); it has a row for each cluster, at most knn.MAX_CENTERS."""
+    from . import knn
+
+    rows = mix.select("cluster", "mu", "alpha", "kappa").limit(knn.MAX_CENTERS + 1).collect()
+    if len(rows) > knn.MAX_CENTERS:
+        raise ValueError(f"more than {knn.MAX_CENTERS} splats")
+    return F.array(*[F.struct(knn.literal(r.mu).alias("mu"), F.lit(float(r.alpha)).alias("a"), F.lit(float(r.kappa)).alias("k")) for r in rows])
+
+
+def gradient(vectors: DataFrame, mix: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(key, gradient): sum of 2 kappa alpha exp(-kappa d2) (x - mu) over the sum of alpha exp(-kappa d2)."""
+    v = V.vec(vec)
+    parts = F.transform(held_mix(mix), lambda t: F.struct(t.mu.alias("mu"), t.k.alias("k"), (t.a * F.exp(-t.k * V.l2_squared(v, t.mu))).alias("p")))
+    zero = F.transform(v, lambda x: F.lit(0.0))
+    step = lambda s, t: F.zip_with(s, F.zip_with(v, t.mu, lambda x, m: 2 * t.k * t.p * (x - m)), lambda a, b: a + b)
+    rows = vectors.select(key, v.alias(vec), parts.alias("parts_"))
+    total = F.aggregate("parts_", F.lit(0.0), lambda s, t: s + t.p)
+    return rows.select(key, V.scale(F.aggregate("parts_", zero, step), 1.0 / total).alias("gradient"))
+
+
+def avalanche(mix: DataFrame, share: float = 0.3, near: int = 10, most: int = 1000) -> DataFrame:
+    """(cluster, energy, step): from the splat of most energy, ``share`` of it goes to its nearest ones; those lifted over the mean follow.
+
+    The splats are a bounded model, so the cascade runs on the driver.
+    """
+    import numpy as np
+
+    from . import knn
+
+    rows = sorted(mix.select("cluster", "mu", "alpha").limit(knn.MAX_CENTERS).collect())
+    if not rows:
+        return mix.sparkSession.createDataFrame([], "cluster int, energy double, step int")
+    mu, e = np.array([r.mu for r in rows]), np.array([r.alpha for r in rows], dtype=float)
+    limit, front, step = e.mean() * 1.5, [int(e.argmax())], {}
+    while front and len(step) < most:
+        i = front.pop(0)
+        if i in step:
+            continue
+        step[i] = len(step)
+        others = np.argsort(((mu - mu[i]) ** 2).sum(1), kind="stable")[1 : near + 1]
+        moved = share * e[i]
+        e[i] -= moved
+        if len(others):
+            e[others] += moved / len(others)
+        front += [int(j) for j in others if e[j] > limit and j not in step]
+    return mix.sparkSession.createDataFrame([(int(r.cluster), float(e[i]), step.get(i)) for i, r in enumerate(rows)], "cluster int, energy double, step int")
+
+
+def regions(vectors: DataFrame, mix: DataFrame, n: int, radius: float = 0.5, spread: float = 0.5, top: int = 1000, seed: int = 3, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(region, center, energy, n_points): points moved off the data at random, the ``top`` of most energy grouped greedily within ``radius``."""
+    import numpy as np
+
+    moved = vectors.select(key, V.vec(vec).alias(vec)).withColumn("u_", F.rand(seed))
+    shift = F.transform(F.col(vec), lambda x, i: x + spread * (F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(2001)) / 1000.0 - 1.0))
+    points = moved.select(key, shift.alias(vec))
+    scored = splat_energy(points, mix, vec, key).join(points, key)
+    rows = scored.orderBy(F.desc("energy"), key).limit(top).collect()
+    found: list[list] = []
+    for r in rows:
+        p = np.array(r[vec])
+        for f in found:
+            if np.linalg.norm(f[0] - p) <= radius:
+                f[2] += 1
+                break
+        else:
+            found.append([p, float(r.energy), 1])
+    return vectors.sparkSession.createDataFrame([(i, f[0].tolist(), f[1], f[2]) for i, f in enumerate(found[:n])], "region long, center array<double>, energy double, n_points long")

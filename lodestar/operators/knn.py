@@ -166,69 +166,6 @@ def recall(approximate: DataFrame, exact: DataFrame, k: int, qid: str = "qid", k
     return a.agg(F.countDistinct(qid).alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
 
 
-def graph_search(vectors: DataFrame, queries: DataFrame, k: int, m: int = 16, ef: int = 64, parts: int | None = None, vec: str = "embedding", key: str = "vec_id", qid: str = "qid", max_part: int = 50_000) -> DataFrame:
-    """Approximate search in navigable small-world graphs, one for each partition, merged to the global top k.
-
-    Every row is indexed. Partitions hold about ``max_part`` rows at most, so a graph's memory
-    is bounded however large the table is.
-    """
-    spark = vectors.sparkSession
-    n = vectors.count()
-    parts = parts or max(1, -(-n // max_part))
-    rows = queries.select(F.col(qid).cast("long"), V.vec(vec)).collect() if queries.count() <= QUERY_BLOCK else None
-    if rows is None:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: search them in blocks")
-    held = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64)))
-
-    def run(batches):
-        import heapq
-
-        got = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy().astype(np.float64)) for b in batches if b.num_rows]
-        if not got:
-            return
-        keys = np.concatenate([a for a, _ in got])
-        x = np.concatenate([b for _, b in got]).reshape(len(keys), -1)
-        order = np.random.default_rng(0).permutation(len(keys))  # early nodes keep long links
-        keys, x = keys[order], x[order]
-        near: list[list[int]] = [[] for _ in keys]
-
-        def search(v, width, limit):
-            seen = {0}
-            d0 = float(((x[0] - v) ** 2).sum())
-            heap, best = [(d0, 0)], [(-d0, 0)]
-            while heap:
-                d, i = heapq.heappop(heap)
-                if d > -best[0][0] and len(best) >= width:
-                    break
-                new = [j for j in near[i] if j not in seen and j < limit]
-                seen.update(new)
-                if not new:
-                    continue
-                for dj, j in zip(((x[new] - v) ** 2).sum(axis=1).tolist(), new):
-                    if len(best) < width or dj < -best[0][0]:
-                        heapq.heappush(heap, (dj, j)), heapq.heappush(best, (-dj, j))
-                        if len(best) > width:
-                            heapq.heappop(best)
-            return sorted((-d, j) for d, j in best)
-
-        for i in range(1, len(keys)):
-            for _, j in search(x[i], max(ef // 2, m), i)[:m]:
-                near[i].append(j), near[j].append(i)
-                if len(near[j]) > 4 * m:  # over old and new links alike; the first links stay for long hops
-                    far = near[j][m:]
-                    d = ((x[far] - x[j]) ** 2).sum(axis=1)
-                    near[j] = near[j][:m] + [far[t] for t in np.argsort(d, kind="stable")[: 2 * m]]
-        ids, q = held.value
-        for name, v in zip(ids, q):
-            top = search(v, max(ef, k), len(keys))[:k]
-            yield pa.record_batch([pa.array([name] * len(top), pa.int64()), pa.array([int(keys[j]) for _, j in top], pa.int64()), pa.array([float(np.sqrt(d)) for d, _ in top])], names=["qid", "key", "distance"])
-
-    dealt = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("v")).repartition(parts, "key")
-    out = dealt.mapInArrow(run, "qid long, key long, distance double")
-    w = Window.partitionBy("qid").orderBy("distance", "key")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("qid").alias(qid), F.col("key").alias(key), "distance", "rank")
-
-
 def sign_buckets(vectors: DataFrame, tables: int = 16, bits: int = 8, seed: int = 7, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(key, table_id, bucket): sign-projection hashes of every row."""
 

@@ -57,3 +57,43 @@ def successors(rows: DataFrame, by: str, order: list[str], item: str) -> DataFra
 def warmup_cosine(steps: int, warm: int, peak: float, low: float) -> list[float]:
     """A learning-rate schedule: linear to the peak, then half a cosine to the low."""
     return [peak * (s + 1) / warm if s < warm else low + (peak - low) * 0.5 * (1 + math.cos(math.pi * (s - warm) / max(1, steps - warm))) for s in range(steps)]
+
+
+def strategy_of(n: Column, k: Column, batch: Column) -> Column:
+    """:func:`strategy` as a column."""
+    small = F.when((n < 1000) | (k < 5) | ((n <= 5000) & (k <= 20)), "exact").otherwise("hrm2")
+    return F.when(batch >= 4, F.when(n >= 1000, "hrm2").otherwise("batch")).otherwise(small)
+
+
+def trends(rows: DataFrame, by: str, value: str, order: list[str], margin: float = 0.1) -> DataFrame:
+    """(by, latest, trend): the mean of each later half against that of the earlier one."""
+    w = Window.partitionBy(by).orderBy(*order)
+    r = rows.select(by, value, *order, F.row_number().over(w).alias("i_"), F.count("*").over(Window.partitionBy(by)).alias("n_"))
+    late, early = F.avg(F.when(F.col("i_") * 2 > F.col("n_"), F.col(value))), F.avg(F.when(F.col("i_") * 2 <= F.col("n_"), F.col(value)))
+    trend = F.when(late > (1 + margin) * early, "up").when(late < (1 - margin) * early, "down").otherwise("flat")
+    return r.groupBy(by).agg(F.max_by(value, F.struct(*order)).alias("latest"), trend.alias("trend"))
+
+
+class ResultCache:
+    """Results of searches by key, least recently used out first, each for ``ttl`` seconds."""
+
+    def __init__(self, capacity: int = 128, ttl: float = 300.0, clock=None):
+        import time
+        from collections import OrderedDict
+
+        self.capacity, self.ttl, self.clock = capacity, ttl, clock or time.monotonic
+        self.hits = self.misses = 0
+        self.held: OrderedDict = OrderedDict()
+
+    def get_or_run(self, key, search):
+        now = self.clock()
+        if key in self.held and now - self.held[key][0] <= self.ttl:
+            self.hits += 1
+            self.held.move_to_end(key)
+            return self.held[key][1]
+        self.misses += 1
+        self.held[key] = (now, search())
+        self.held.move_to_end(key)
+        while len(self.held) > self.capacity:
+            self.held.popitem(last=False)
+        return self.held[key][1]

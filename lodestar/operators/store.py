@@ -59,3 +59,20 @@ def tiers(rows: DataFrame, score: Column, key: str, hot: float = 0.2, warm: floa
     placed = scored.orderBy(F.desc("s_"), key).limit(limits.get("warm", 0)).withColumn("i_", F.row_number().over(w))
     top = placed.select(key, F.when(F.col("i_") <= limits.get("hot", 0), "hot").otherwise("warm").alias("t_"))
     return scored.select(key).join(top, key, "left").select(key, F.coalesce("t_", F.lit("cold")).alias("tier"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their place from 1 in a total order: sorted ranges are numbered apart, then shifted by the sizes before them."""
+    from ..session import written
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = rows.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id())
+    ranges = written(ranges, "ranges")
+    sizes, at = {}, 0
+    for r in sorted(ranges.groupBy("part_").count().collect()):  # a row for each range
+        sizes[r.part_], at = at, at + r["count"]
+    w = Window.partitionBy("part_").orderBy(*order)
+    start = F.lit(0)
+    if sizes:
+        start = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))]), F.col("part_"))
+    return ranges.withColumn(name, F.row_number().over(w) + start).drop("part_")

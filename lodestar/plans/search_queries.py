@@ -393,7 +393,7 @@ def g09_query_expansion(spark, sf_dir):
     return e.select("vec_id", F.round(V.cosine(V.vec("embedding"), moved), 9).alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", R(F.col("s")).alias("score"))
 
 
-@query(f"{BASE}, {LINK}, {SEEDS}, ent as (select distinct pe.s from seed join pe using (vec_id)), n as (select vec_id, count(*) as shared from pe join ent using (s) group by vec_id) select vec_id, shared, round(least(0.1 * shared, 0.5), 6) as graph_score, round(0.15 * shared + case when shared >= 2 then 0.3 else 0 end, 6) as entity_first from n")
+@query(f"{BASE}, {LINK}, {SEEDS}, ent as (select distinct pe.s from seed join pe using (vec_id)), n as (select vec_id, count(*) as shared from pe join ent using (s) group by vec_id) select vec_id, shared, round(least(0.1 * shared, 0.5), 6)::double as graph_score, round(0.15 * shared + case when shared >= 2 then 0.3 else 0 end, 6)::double as entity_first from n")
 def g10_shared_entities(spark, sf_dir):
     links = part_links(spark, sf_dir)
     ent = seeds(spark, sf_dir).select("vec_id").join(links, "vec_id").select("s").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import energy, knn, store
+from ..operators import energy, graph_index, knn, store
 from ..session import load
 from .registry import query
 
@@ -122,7 +122,8 @@ def v22_bounding_boxes(spark, sf_dir):
     e = emb(spark, sf_dir).select("vec_id", "label", F.slice(V.vec("embedding"), 1, 3).alias("v"))
     each = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     box = each.groupBy(F.col("label").alias("cluster")).agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("b"))  # three components each
-    low, high = (knn.center_table(box.select("cluster", F.transform("b", lambda s, c=c: s.getField(c)).alias("center"))) for c in ("lo", "hi"))
+    low = knn.center_table(box.select("cluster", F.transform("b", lambda s: s.lo).alias("center")))
+    high = knn.center_table(box.select("cluster", F.transform("b", lambda s: s.hi).alias("center")))
     within = F.filter(F.arrays_zip(low.alias("l"), high.alias("h")), lambda t: V.is_inside(F.col("v"), t.l.center, t.h.center))
     out = e.select("vec_id", F.transform(within, lambda t: t.l.cluster).alias("in_"))
     return out.select("vec_id", F.size("in_").cast("long").alias("n_inside"), F.array_min("in_").alias("first_box"))
@@ -221,7 +222,7 @@ def k11_two_stage(spark, sf_dir):
 
 @query()
 def k13_graph_search(spark, sf_dir):
-    return knn.graph_search(emb(spark, sf_dir), asked(spark, sf_dir), 10)
+    return graph_index.search(graph_index.build(emb(spark, sf_dir)), asked(spark, sf_dir), 10)
 
 
 @query(batch_sql("list_distance(e.v, a.v)").replace("from e, e a where a.vec_id % 20 = 0", "from e, e a where a.vec_id % 20 = 0 and e.vec_id % 7 <> 3"))
@@ -352,9 +353,9 @@ def a19_compact(spark, sf_dir):
     return store.compacted(energy.splats(emb(spark, sf_dir), "label")).select("cluster")
 
 
-@query("with h as (select user_id % 500 as vec_id, count(*) as hits from events group by 1) select vec_id, round((1.0 + coalesce(hits, 0)) * 0.95, 6) as frequency from embeddings left join h using (vec_id)")
+@query("with h as (select user_id as vec_id, count(*) as hits from events group by 1) select vec_id, round((1.0 + coalesce(hits, 0)) * 0.95, 6)::double as frequency from embeddings left join h using (vec_id)")
 def a20_access_frequency(spark, sf_dir):
-    hits = load(spark, sf_dir, "events").groupBy((F.col("user_id") % 500).alias("vec_id")).agg(F.count("*").alias("hits"))
+    hits = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("vec_id")).agg(F.count("*").alias("hits"))
     return emb(spark, sf_dir).select("vec_id").join(hits, "vec_id", "left").select("vec_id", R((1.0 + F.coalesce("hits", F.lit(0))) * 0.95).alias("frequency"))
 
 
