@@ -54,9 +54,13 @@ def measure(data: bytes) -> tuple[int, int, int, int, int, int]:
     return n, len(data.translate(None, _NOT_POINTS)), len(data) - len(data.translate(None, _SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated
 
 
-def measured(docs: DataFrame, text: str = "text", carry: bool = True, only: list[str] | None = None) -> DataFrame:
-    """``docs`` (all columns, or those in ``only``) with the six measures ``m_*`` behind."""
-    names = [c for c in docs.columns if c not in OWN] if carry else only
+def measured(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", only: list[str] | None = None) -> DataFrame:
+    """(doc_, m_lang, m_source, m_*): each row of ``docs`` (all columns, or those in ``only``) as one struct, and its measures.
+
+    The struct keeps the columns of ``docs`` apart from the names used here.
+    """
+    carried = F.struct(*[F.col(f"`{c}`") for c in (only or docs.columns)])
+    names = [carried.alias("doc_"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"m_{n}") for c, n in ((lang, "lang"), (source, "source")))]
     docs = docs.select(*names, F.col(text).cast("string").alias("m_text"))
     out = docs.drop("m_text").schema
     for c in OWN:
@@ -88,11 +92,11 @@ def top_of(b: F.Column) -> F.Column:
     return F.when(b < 128, b.cast("long")).otherwise(F.call_function("shiftleft", ((b - 128) % 64 + 65).cast("long"), e) - 1)
 
 
-def sketches(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, measure, bin, n) over rows with measures that pass the base rule."""
     values = F.array(*[F.struct(F.lit(i).alias("measure"), bin_of(rates()[m]).alias("bin")) for i, (m, _, _) in enumerate(MEASURES)])
-    rows = docs.where(~base_failed()).select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.explode(values).alias("v"))
-    return rows.groupBy("lang", "source", "v.measure", "v.bin").agg(F.count("*").alias("n"))
+    each = rows.where(~base_failed()).select(F.col("m_lang").alias("lang"), F.col("m_source").alias("source"), F.explode(values).alias("v"))
+    return each.groupBy("lang", "source", "v.measure", "v.bin").agg(F.count("*").alias("n"))
 
 
 def base_failed() -> F.Column:
@@ -125,31 +129,29 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD
     return rows.groupBy("lang", "source").agg(*aggs)
 
 
-def judged(rows: DataFrame, lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
+def judged(rows: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
     """Written rows with measures -> the same with ``base_failed`` and ``kept`` behind."""
-    limits = written(thresholds(sketches(rows, lang, source), min_docs, spread).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), "thresholds")
+    limits = written(thresholds(sketches(rows), min_docs, spread).withColumnsRenamed({"lang": "m_lang", "source": "m_source"}), "thresholds")
     side = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
-    on = (F.coalesce(F.col(lang), F.lit("")) == F.col("t_lang")) & (F.coalesce(F.col(source), F.lit("")) == F.col("t_source"))
     passes = ~base_failed()
     for m, _, low in MEASURES:
         passes &= F.coalesce(rates()[m] <= F.col(f"high_{m}"), F.lit(True))
         if low:
             passes &= F.coalesce(rates()[m] >= F.col(f"low_{m}"), F.lit(True))
-    return rows.join(side, on, "left").select(*rows.columns, base_failed().alias("base_failed"), passes.alias("kept"))
+    return rows.join(side, ["m_lang", "m_source"], "left").select(*rows.columns, base_failed().alias("base_failed"), passes.alias("kept"))
 
 
 def apply(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) of each row."""
-    light = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    rows = written(measured(light, carry=False, only=["doc_id", "lang", "source"]), "measures")
+    rows = written(measured(docs, text, lang, source, only=[doc_id]), "measures")
     out = judged(rows, **options)
-    return out.select("doc_id", F.col("m_words").alias("n_words"), F.col("m_word_chars").alias("word_chars"), F.col("m_symbols").alias("n_symbols"), F.col("m_dup_lines").alias("n_dup_lines"), F.col("m_repeat_words").alias("n_repeat_words"), "base_failed", "kept")
+    return out.select(F.col("doc_").getField(doc_id).alias("doc_id"), F.col("m_words").alias("n_words"), F.col("m_word_chars").alias("word_chars"), F.col("m_symbols").alias("n_symbols"), F.col("m_dup_lines").alias("n_dup_lines"), F.col("m_repeat_words").alias("n_repeat_words"), "base_failed", "kept")
 
 
 def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns."""
-    rows = written(measured(docs, text), "measured-documents")
-    return judged(rows, lang, source, **options).where("kept").select(*docs.columns)
+    rows = written(measured(docs, text, lang, source), "measured-documents")
+    return judged(rows, **options).where("kept").select("doc_.*")
 
 
 #: The same in SQL, for comparison.
