@@ -4,8 +4,9 @@ Texts stream through the automaton word by word; the longest piece of any item t
 each word is tracked. A piece of ``window`` words or more makes its words hit, and the items
 it lies in are counted. An item of fewer words is one window of its own.
 
-The items are dealt into blocks of a bounded number of words; each block has an automaton,
-which is all that is sent to executors, and every text meets every block.
+The items are dealt into blocks of a bounded number of words, each with an automaton of its own.
+Two blocks at most are with the executors at once: every text meets every block, in as many
+passes as that takes, so what is broadcast never grows with the test items.
 
 Defined results: null and empty texts have no words and are clean; null item texts, items
 without a word and items without an id have no window; an item_id given twice counts once;
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_list, id_and_text, map_text
+from ..session import dropped, written
+from .common import id_and_text, map_text
 
 WINDOW = 8
 #: Words of test items in one automaton: about 0.5 kB each on the driver and each executor.
 BLOCK_WORDS = 200_000
+#: Blocks that are with the executors at once.
+AT_ONCE = 2
 #: Every byte that is no word becomes a space; A-Z become lower case.
 _TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -148,43 +152,83 @@ class Automaton:
         return spans, found
 
 
-def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS):
-    """Yield the automatons of the items; only one block's texts are on the driver at a time."""
+def windowed(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(id, text) of the items that can have a window, each once."""
     rows = items.select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = rows.where("id is not null and text is not null").distinct()
+    return rows.where("id is not null and text is not null").distinct()
+
+
+def n_blocks(rows: DataFrame, block_words: int = BLOCK_WORDS) -> int:
     size = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_words))
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k) if n > 1 else rows
-        yield Automaton([(r.id, words_of(r.text.encode())) for r in sorted(part.collect())], window)
+    return max(1, -(-rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] // block_words))
+
+
+def block(rows: DataFrame, k: int, n: int, window: int = WINDOW) -> Automaton:
+    """The automaton of block ``k`` of ``n``; only its texts are on the driver."""
+    part = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k) if n > 1 else rows
+    return Automaton([(r.id, words_of(r.text.encode())) for r in sorted(part.collect())], window)
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("past", T.IntegerType())]))
+_SPANS_ARROW = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
+
+
+def _spans_column(rows) -> pa.Array:
+    return pa.array([[{"first": x, "past": y} for x, y in s] for s in rows], _SPANS_ARROW)
 
 
-def _shared(automaton: Automaton, df: DataFrame):
-    return df.sparkSession.sparkContext.broadcast(automaton)
+def _walk(docs: DataFrame, items: DataFrame, finish, schema, window: int, block_words: int, at_once: int = AT_ONCE) -> DataFrame:
+    """Take ``docs`` (its last column the text) through the automatons of all blocks.
+
+    ``at_once`` blocks are sent out together; between such passes the spans and items found so
+    far are written with the rows. ``finish(batch, texts, words, spans, names)`` makes the last
+    pass's rows.
+    """
+    rows = windowed(items)
+    n = n_blocks(rows, block_words)
+    place = len(docs.columns) - 1
+    between = T.StructType([*docs.schema.fields, T.StructField("spans_", _SPANS), T.StructField("names_", T.ArrayType(T.StringType()))])
+    state = docs
+    for lo in range(0, n, at_once):
+        held = [docs.sparkSession.sparkContext.broadcast(block(rows, k, n, window)) for k in range(lo, min(n, lo + at_once))]
+        opened, last = lo > 0, lo + at_once >= n
+
+        def run(batches, held=held, opened=opened, last=last):
+            for b in batches:
+                texts = b.column(place).cast(pa.binary()).to_pylist()
+                words = [words_of(x or b"") for x in texts]
+                spans = [[(x["first"], x["past"]) for x in s] for s in b.column(place + 1).to_pylist()] if opened else [[] for _ in texts]
+                names = [set(x) for x in b.column(place + 2).to_pylist()] if opened else [set() for _ in texts]
+                for h in held:  # a batch meets one block after the other
+                    machine = h.value
+                    for own, s, found in zip(words, spans, names):
+                        new, hit = machine.scan(own)
+                        s.extend(new)
+                        found.update(machine.names[i] for i in hit)
+                spans = [merged(s) for s in spans]
+                if last:
+                    yield finish(b, texts, words, spans, names)
+                else:
+                    columns = [*b.columns[: place + 1], _spans_column(spans), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[: place + 1], "spans_", "names_"])
+
+        out = map_text(state, run, schema if last else between)
+        if last:
+            return out
+        done, state = state, written(out, "walked")
+        dropped(done)
+        for h in held:
+            h.destroy()
 
 
 def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, n_words, spans, items): for each row the hit spans of words and the ids of the items hit, sorted."""
-    docs = id_and_text(docs, doc_id, text)
-    held = [_shared(a, docs) for a in blocks(items, window=window, block_words=block_words)]
-
-    def run(batches):
-        for b in batches:
-            texts = [words_of(x) for x in byte_list(b.column(1))]
-            found = [(set(), []) for _ in texts]
-            for h in held:  # a batch meets one block after the other
-                machine = h.value
-                for words, (names, spans) in zip(texts, found):
-                    s, hit = machine.scan(words)
-                    spans.extend(s)
-                    names.update(machine.names[i] for i in hit)
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))
-            spans = pa.array([[{"first": x, "past": y} for x, y in merged(s)] for _, s in found], kind)
-            names = pa.array([sorted(n) for n, _ in found], pa.list_(pa.string()))
-            yield pa.record_batch([b.column(0), pa.array(map(len, texts), pa.int64()), spans, names], names=["doc_id", "n_words", "spans", "items"])
-
-    return map_text(docs, run, "doc_id long, n_words long, spans array<struct<first:int,past:int>>, items array<string>")
+
+    def finish(b, texts, words, spans, names):
+        columns = [b.column(0), pa.array(map(len, words), pa.int64()), _spans_column(spans), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
+        return pa.record_batch(columns, names=["doc_id", "n_words", "spans", "items"])
+
+    return _walk(id_and_text(docs, doc_id, text), items, finish, f"doc_id long, n_words long, spans {_SPANS.simpleString()}, items array<string>", window, block_words)
 
 
 def digest(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -225,34 +269,21 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str =
     item; a document with more than ``max_coverage`` of its words hit goes as a whole. All other
     texts stay as they are to the byte. ``n_chars``, where there is such a column, follows the text.
     """
-    held = [_shared(a, docs) for a in blocks(items, window=window, block_words=block_words)]
-    names = docs.columns
-    place = names.index(text)
-
-    def run(batches):
-        for b in batches:
-            keep, texts = [], []
-            for data in b.column(place).cast(pa.binary()).to_pylist():
-                if data is not None:
-                    words, spans = words_of(data), []
-                    for h in held:
-                        spans += h.value.scan(words)[0]
-                    spans = merged(spans)
-                    hit = sum(y - x for x, y in spans)
-                    keep.append(hit <= max_coverage * len(words))
-                    gone = [(x, y) for x, y in spans if y - x > max_span or y - x < window]
-                    if keep[-1] and gone:
-                        data = without(data, gone)
-                else:
-                    keep.append(True)
-                texts.append(data)
-            columns = list(b.columns)
-            columns[place] = pa.array(texts, pa.binary()).cast(b.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
-
-    out = map_text(docs, run, docs.schema)
-    if n_chars in names:
-        kind = docs.schema[n_chars].dataType
-        if isinstance(kind, (T.LongType, T.IntegerType)):
-            out = out.withColumn(n_chars, F.when(F.col(n_chars).isNotNull(), F.length(text).cast(kind)))
-    return out
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("any_"), *[F.col(f"`{c}`") for c in rest]).alias("doc_"), F.col(f"`{text}`").cast("string").alias("text_"))
+
+    def finish(b, texts, words, spans, names):
+        keep, out = [], []
+        for data, own, found in zip(texts, words, spans):
+            keep.append(data is None or sum(y - x for x, y in found) <= max_coverage * len(own))
+            gone = [(x, y) for x, y in found if y - x > max_span or y - x < window]
+            out.append(without(data, gone) if keep[-1] and gone else data)
+        both = pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["doc_", "text_"])
+        return both.filter(pa.array(keep, pa.bool_()))
+
+    out = _walk(rows, items, finish, rows.schema, window, block_words)
+    own = lambda c: F.col("doc_").getField(c)
+    changed = {text: F.col("text_")}
+    if n_chars in rest and isinstance(docs.schema[n_chars].dataType, (T.LongType, T.IntegerType)):
+        changed[n_chars] = F.when(own(n_chars).isNotNull(), F.length("text_").cast(docs.schema[n_chars].dataType))
+    return out.select(*[changed.get(c, own(c)).alias(c) for c in docs.columns])
