@@ -26,7 +26,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS, HEX, TOKEN = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ["assign", "access", "hex", "random"]
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-RATIO, MEAN = 12.0, 0.45
+RATIO, MEAN = 8.0, 0.25
 #: How many random strings of each alphabet are drawn (from hashes of 1, 2, ...).
 N_RANDOM = 1500
 _WORDS = """the and that have with this from they would there their what about which when make like time just know take people into year your good some could them other than then now look only come over think also back after work first well even want because these give most information version language configuration application development environment documentation implementation transaction connection description international organization responsibility characteristics understanding communication administration representation interpretation
@@ -96,11 +96,15 @@ def ratio(token: Column, table: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, table: list[float], text: str = "text", least: float = RATIO, mean: float = MEAN) -> DataFrame:
-    """``docs`` with ``base_`` and ``added_`` (arrays of start, order, end, value) behind."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    """(doc_, text_, base_, added_): each row as one struct, its text, and two arrays of (start, order, end, value).
+
+    The struct keeps the columns of ``docs`` apart from the names used here.
+    """
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text_"))
+    t = F.col("text_")
     log = F.array(*[F.lit(x) for x in table])
     base = F.array_sort(F.concat(matches(t, ASSIGN, "assign", 6), matches(t, ACCESS, "access"), matches(t, HEX, "hex")))
-    out = docs.withColumn("base_", base).withColumn("tokens_", matches(t, TOKEN, "random"))
+    out = out.withColumn("base_", base).withColumn("tokens_", matches(t, TOKEN, "random"))
     apart = lambda x: ~F.exists("base_", lambda b: (b.start < x.end) & (x.start < b.end))
     scored = F.transform("tokens_", lambda x: F.struct(x.alias("x"), ratio(x.value, log).alias("llr")))
     good = F.filter(scored, lambda y: y.x.value.rlike("[A-Za-z]") & (y.llr >= least) & (y.llr >= mean * F.length(y.x.value)))
@@ -117,7 +121,7 @@ def listed(spans: Column) -> Column:
 def digest(docs: DataFrame, table: list[float] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of each row."""
     table = table or fit(samples(docs.sparkSession))
-    rows = with_spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), table).select("doc_id", "base_", "added_")
+    rows = with_spans(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), table).select("doc_.doc_id", "base_", "added_")
     n = lambda k: F.size(F.filter("base_", lambda x: x.order == k)).cast("long")
     return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(listed(F.col("base_")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base_", "added_"))).alias("spans"))
 
@@ -126,15 +130,18 @@ def redact(docs: DataFrame, table: list[float] | None = None, text: str = "text"
     """``docs`` with ``mark`` in place of every span; texts without a span stay as they are. ``n_chars`` follows the text."""
     table = table or fit(samples(docs.sparkSession))
     rows = with_spans(docs, table, text).withColumn("all_", F.array_sort(F.concat("base_", "added_")))
-    t = F.col(text)
+    t = F.col("text_")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s, x):
         new = x.start >= s.at
         return F.struct(F.greatest(s.at, x.end).alias("at"), F.when(new, F.concat(s.out, F.substring(t, s.at + 1, x.start - s.at), F.lit(mark))).otherwise(s.out).alias("out"))
 
+    hit = F.size("all_") > 0
     clean = F.aggregate("all_", zero, step, lambda s: F.concat(s.out, F.substring(t, s.at + 1, F.length(t))))
-    out = rows.withColumn(text, F.when(F.size("all_") > 0, clean).otherwise(t))
+    rows = rows.withColumn("clean_", F.when(hit, clean))
+    own = lambda c: F.col("doc_").getField(c)
+    changed = {text: F.when(hit, F.col("clean_")).otherwise(own(text))}
     if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when((F.size("all_") > 0) & F.col(n_chars).isNotNull(), F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+        changed[n_chars] = F.when(hit & own(n_chars).isNotNull(), F.length("clean_").cast(docs.schema[n_chars].dataType)).otherwise(own(n_chars))
+    return rows.select(*[changed.get(c, own(c)).alias(c) for c in docs.columns])
