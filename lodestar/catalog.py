@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import analytics_queries, encoding_queries, search_queries, vector_queries  # noqa: F401
+from .plans import analytics_queries, encoding_queries, search_queries, streaming_queries, vector_queries  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 
