@@ -16,18 +16,15 @@ def splats(vectors: DataFrame, cluster: str, vec: str = "embedding") -> DataFram
     stats = each.groupBy("cluster", "pos").agg(F.avg("x").alias("mean"), F.count("*").alias("n"), (F.var_pop("x") * F.count("*")).alias("ss"))
     rows = stats.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("m"), F.max("n").alias("n"), F.sum("ss").alias("ss"))
     spread = F.sqrt("ss") / F.col("n") + 1e-8
-    all_ = vectors.agg(F.count("*").alias("total"))
-    return rows.crossJoin(F.broadcast(all_)).select(  # one row
-        "cluster", F.transform("m", lambda s: s.mean).alias("mu"), (F.col("n") / F.col("total")).alias("alpha"), F.least(F.greatest(1 / spread, F.lit(0.1)), F.lit(100.0)).alias("kappa"), "n"
-    )
+    total = vectors.count()
+    return rows.select("cluster", F.transform("m", lambda s: s.mean).alias("mu"), (F.col("n") / F.lit(total)).alias("alpha"), F.least(F.greatest(1 / spread, F.lit(0.1)), F.lit(100.0)).alias("kappa"), "n")
 
 
 def splat_energy(vectors: DataFrame, mix: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(key, energy): -ln of the sum of alpha exp(-kappa d2); 10 where nothing is near. The mixture is collected once: it has a row for each cluster."""
-    held = [(list(r.mu), float(r.alpha), float(r.kappa)) for r in mix.select("mu", "alpha", "kappa").collect()]
-    if not held:
+    if mix.isEmpty():
         return vectors.select(key, F.lit(FLAT).alias("energy"))
-    table = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in m]).alias("mu"), F.lit(a).alias("a"), F.lit(k).alias("k")) for m, a, k in held])
+    table = held_mix(mix)
     v = V.vec(vec)
     p = F.aggregate(table, F.lit(0.0), lambda s, t: s + t.a * F.exp(-t.k * V.l2_squared(v, t.mu)))
     return vectors.select(key, p.alias("p")).select(key, F.when(F.col("p") < 1e-10, FLAT).otherwise(-F.log("p")).alias("energy"))
@@ -56,8 +53,8 @@ def relax(mix: DataFrame, rounds: int = 1) -> DataFrame:
     """alpha (1 + .05 exp(-.1 kappa)) with the sum of alpha put back to 1, kappa 1.01 within [.1, 100], ``rounds`` times."""
     for _ in range(rounds):
         grown = mix.withColumn("alpha", F.col("alpha") * (1 + 0.05 * F.exp(-0.1 * F.col("kappa"))))
-        total = grown.agg(F.sum("alpha").alias("sum_"))
-        mix = grown.crossJoin(F.broadcast(total)).withColumn("alpha", F.col("alpha") / F.col("sum_")).drop("sum_")  # one row
+        total = grown.agg(F.sum("alpha")).first()[0]
+        mix = grown.withColumn("alpha", F.col("alpha") / F.lit(total))
         mix = mix.withColumn("kappa", F.least(F.greatest(F.col("kappa") * 1.01, F.lit(0.1)), F.lit(100.0)))
     return mix
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def shard_of(key: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -37,9 +39,8 @@ def index_for(n: int) -> str:
 
 
 def nearest_rank(rows: DataFrame, value: str, by: str, shares: dict[str, float]) -> DataFrame:
-    """(by, name...): the value at place floor(n p) + 1 of each group, by a built-in exact percentile of ranks."""
-    w = Window.partitionBy(by).orderBy(value)
-    r = rows.select(by, value, F.row_number().over(w).alias("i_"), F.count("*").over(Window.partitionBy(by)).alias("n_"))
+    """(by, name...): the value at place floor(n p) + 1 of each group."""
+    r = ordered.placed(rows.select(by, value), by, [value])
     return r.groupBy(by).agg(*[F.max(F.when(F.col("i_") == F.least(F.floor(F.col("n_") * p) + 1, F.col("n_")), F.col(value))).alias(name) for name, p in shares.items()])
 
 
@@ -50,8 +51,8 @@ def ndcg(relevant: Column, rank: Column, k: int = 10) -> Column:
 
 def successors(rows: DataFrame, by: str, order: list[str], item: str) -> DataFrame:
     """(item, next_item, n): what follows what."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return rows.select(F.col(item).alias("item"), F.lead(item).over(w).alias("next_item")).where("next_item is not null").groupBy("item", "next_item").agg(F.count("*").alias("n"))
+    pairs = ordered.framed(rows.select(by, *order, F.col(item).alias("next_item")), by, order, 1, {"item": lambda w: F.first("next_item").over(w), "k_": lambda w: F.count("*").over(w)})
+    return pairs.where("k_ = 2 and next_item is not null").groupBy("item", "next_item").agg(F.count("*").alias("n"))
 
 
 def warmup_cosine(steps: int, warm: int, peak: float, low: float) -> list[float]:
@@ -67,8 +68,7 @@ def strategy_of(n: Column, k: Column, batch: Column) -> Column:
 
 def trends(rows: DataFrame, by: str, value: str, order: list[str], margin: float = 0.1) -> DataFrame:
     """(by, latest, trend): the mean of each later half against that of the earlier one."""
-    w = Window.partitionBy(by).orderBy(*order)
-    r = rows.select(by, value, *order, F.row_number().over(w).alias("i_"), F.count("*").over(Window.partitionBy(by)).alias("n_"))
+    r = ordered.placed(rows.select(by, value, *order), by, order)
     late, early = F.avg(F.when(F.col("i_") * 2 > F.col("n_"), F.col(value))), F.avg(F.when(F.col("i_") * 2 <= F.col("n_"), F.col(value)))
     trend = F.when(late > (1 + margin) * early, "up").when(late < (1 - margin) * early, "down").otherwise("flat")
     return r.groupBy(by).agg(F.max_by(value, F.struct(*order)).alias("latest"), trend.alias("trend"))

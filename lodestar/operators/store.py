@@ -39,40 +39,26 @@ def compacted(splats: DataFrame, alpha: str = "alpha", mu: str = "mu") -> DataFr
 
 def entropy(rows: DataFrame, weight: str) -> DataFrame:
     """(entropy): -sum p ln p / ln n within [0, 1]."""
-    total = rows.agg(F.sum(weight).alias("s_"), F.count("*").alias("n_"))
-    p = F.col(weight) / F.col("s_")
-    h = F.sum(F.when(p > 0, -p * F.log(p)).otherwise(0.0)) / F.log(F.max("n_"))
-    return rows.crossJoin(F.broadcast(total)).agg(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0)).alias("entropy"))  # one row
+    total = rows.agg(F.sum(weight)).first()[0]
+    p = F.col(weight) / F.lit(total)
+    h = F.sum(F.when(p > 0, -p * F.log(p)).otherwise(0.0)) / F.log(F.count("*"))
+    return rows.agg(F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0)).alias("entropy"))
+
+
+def backup(table: DataFrame, path: str) -> DataFrame:
+    """A copy under a new path; an error where there is something already."""
+    table.write.mode("errorifexists").parquet(path)
+    return table.sparkSession.read.parquet(path)
 
 
 def tiers(rows: DataFrame, score: Column, key: str, hot: float = 0.2, warm: float = 0.5) -> DataFrame:
-    """(key, tier): the best 20 % hot, up to 50 % warm, the rest cold. Places come from counts of equal scores, not one sorted task."""
+    """(key, tier): the best 20 % hot, up to 50 % warm, the rest cold; ties by key."""
+    import math
+
+    from .ordered import numbered
+
     scored = rows.select(key, score.alias("s_"))
     n = scored.count()
-    limits = {}
-    if n:
-        for name, share in (("hot", hot), ("warm", warm)):
-            import math
-
-            limits[name] = math.ceil(n * share)
-    w = Window.orderBy(F.desc("s_"), key)
-    placed = scored.orderBy(F.desc("s_"), key).limit(limits.get("warm", 0)).withColumn("i_", F.row_number().over(w))
-    top = placed.select(key, F.when(F.col("i_") <= limits.get("hot", 0), "hot").otherwise("warm").alias("t_"))
-    return scored.select(key).join(top, key, "left").select(key, F.coalesce("t_", F.lit("cold")).alias("tier"))
-
-
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``rows`` with their place from 1 in a total order: sorted ranges are numbered apart, then shifted by the sizes before them."""
-    from ..session import written
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = rows.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id())
-    ranges = written(ranges, "ranges")
-    sizes, at = {}, 0
-    for r in sorted(ranges.groupBy("part_").count().collect()):  # a row for each range
-        sizes[r.part_], at = at, at + r["count"]
-    w = Window.partitionBy("part_").orderBy(*order)
-    start = F.lit(0)
-    if sizes:
-        start = F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(v))]), F.col("part_"))
-    return ranges.withColumn(name, F.row_number().over(w) + start).drop("part_")
+    i = F.col("i_")
+    tier = F.when(i <= math.ceil(n * hot), "hot").when(i <= math.ceil(n * warm), "warm").otherwise("cold")
+    return numbered(scored, [F.desc("s_"), F.col(key)], "i_").select(key, tier.alias("tier"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import clustering, energy, knn, routing, store
+from ..operators import clustering, energy, knn, ordered, routing, store
 from ..session import load, scratch_root, written
 from ..sources import binary_vectors
 from .registry import query
@@ -21,10 +21,13 @@ def folder(spark, name: str) -> str:
     return f"{scratch_root(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
 
 
-def mills(w):
-    """The mean of value over a window as whole thousandths; values have two decimals."""
-    cents = F.round(F.col("value") * 100).cast("long")
-    return F.floor(F.sum(cents).over(w) * 10 / F.count("*").over(w)).cast("long")
+def cents():
+    return F.round(F.col("value") * 100).cast("long")
+
+
+def mills(total, n):
+    """A mean as whole thousandths; values have two decimals."""
+    return F.floor(total * 10 / n).cast("long")
 
 
 # sources, sinks, tables ---------------------------------------------------------------------
@@ -126,6 +129,11 @@ def s14_log_recovery(spark, sf_dir):
     return (log.where(F.col("lsn") > at) if at is not None else log).orderBy("lsn")
 
 
+@query("select count(*) as n, sum(n_chars)::bigint as n_chars from documents")
+def s15_backup(spark, sf_dir):
+    return store.backup(load(spark, sf_dir, "documents"), folder(spark, "backup")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 @query("select label as id, 'label ' || label as name, count(*) as n_vectors, max(len(embedding))::int as dim from embeddings group by label")
 def s16_dataset_catalog(spark, sf_dir):
     e = emb(spark, sf_dir).groupBy(F.col("label").alias("id")).agg(F.count("*").alias("n_vectors"), F.max(F.size("embedding")).alias("dim"))
@@ -368,7 +376,7 @@ def d12_percentiles(spark, sf_dir):
 @query("with h as (select user_id as splat, count(*) as hits, max(event_id) as last from events group by 1) select splat, case when hits >= 10 then 'hot' else 'cold' end as tier, row_number() over (order by last, splat)::int as eviction from h")
 def d13_tiers_lru(spark, sf_dir):
     h = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("splat")).agg(F.count("*").alias("hits"), F.max("event_id").alias("last"))
-    place = store.numbered(h, ["last", "splat"], "eviction")
+    place = ordered.numbered(h, ["last", "splat"], "eviction")
     return place.select("splat", F.when(F.col("hits") >= 10, "hot").otherwise("cold").alias("tier"), F.col("eviction").cast("int").alias("eviction"))
 
 
@@ -381,8 +389,9 @@ def d14_membership(spark, sf_dir):
 
 @query("select event_id, event_type as node, ((sum(round(value * 100)::bigint) over w * 10) // count(*) over w)::bigint as mean_latency from events window w as (partition by event_type order by event_id rows unbounded preceding)")
 def d15_running_mean(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("node"), mills(w).alias("mean_latency"))
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    out = ordered.running(e, "event_type", ["event_id"], {"cents": cents(), "n": F.lit(1)})
+    return out.select("event_id", F.col("event_type").alias("node"), mills(F.col("cents"), F.col("n")).alias("mean_latency"))
 
 
 @query("select event_type as kind, count(*) as n, count(distinct user_id) as senders, sum((value is null)::int)::bigint as empty from events group by 1")
@@ -415,8 +424,9 @@ def r03_complexity(spark, sf_dir):
 
 @query("select event_id, ((sum(round(value * 100)::bigint) over w * 10) // count(*) over w)::bigint as latency from events window w as (partition by event_type order by event_id rows between 99 preceding and current row)")
 def r04_rolling_latency(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-99, 0)
-    return load(spark, sf_dir, "events").select("event_id", mills(w).alias("latency"))
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    out = ordered.framed(e, "event_type", ["event_id"], 99, {"latency": lambda w: mills(F.sum(cents()).over(w), F.count("*").over(w))})
+    return out.select("event_id", "latency")
 
 
 @query()
@@ -476,9 +486,9 @@ def r08_anomalies(spark, sf_dir):
 
 @query("with w as (select event_id, event_type, value, avg(value) over (partition by event_type order by event_id rows between 10 preceding and 1 preceding) as before from events) select event_id, coalesce(before > 0.5 and value < 0.7 * before, false) as degraded from w")
 def r09_degradation(spark, sf_dir):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-10, -1)
-    before = F.avg("value").over(w)
-    return load(spark, sf_dir, "events").withColumn("b", before).select("event_id", F.coalesce((F.col("b") > 0.5) & (F.col("value") < 0.7 * F.col("b")), F.lit(False)).alias("degraded"))
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    out = ordered.framed(e, "event_type", ["event_id"], 10, {"b": lambda w: F.avg("value").over(w)}, until=-1)
+    return out.select("event_id", F.coalesce((F.col("b") > 0.5) & (F.col("value") < 0.7 * F.col("b")), F.lit(False)).alias("degraded"))
 
 
 SHORT = RANKED.replace("list_distance(e.v, a.v)", "list_distance(e.v[1:16], a.v[1:16])")

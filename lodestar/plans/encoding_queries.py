@@ -103,7 +103,7 @@ def v20_full_embedding(spark, sf_dir):
     return points(spark, sf_dir).select("p_partkey", F.size(e).alias("dim"))
 
 
-@query(f"""with {POINTS}, q as (select p_partkey, 1.0 / sqrt(1 + x*x + y*y + z*z) as w, x, y, z from p), u as (select p_partkey, w, x * w as x, y * w as y, z * w as z from q)
+@query(f"""with {POINTS}, q as (select p_partkey, 1.0 / (sqrt(1 + x*x + y*y + z*z) + 1e-8) as w, x, y, z from p), u as (select p_partkey, w, x * w as x, y * w as y, z * w as z from q)
     select p_partkey, round(1 - 2 * (y * y + z * z), 5) as r00, round(2 * (x * y + w * z), 5) as r01, round(4 + 1 + 0.25, 5)::double as trace from u""")
 def v21_rotations(spark, sf_dir):
     """Rotation matrix entries, and the covariance's trace, which no rotation changes."""

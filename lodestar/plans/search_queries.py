@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import graph, knn, text
+from ..operators import graph, knn, ordered, text
 from ..session import load
 from .registry import query
 from .vector_queries import BASE, R, emb, first
@@ -252,9 +252,11 @@ CLEAN = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(
 @query(f"""with p as (select conv_id, turn, {CLEAN.format("coalesce(text, '')")} as p, lead({CLEAN.format("coalesce(text, '')")}) over (partition by conv_id order by turn) as e from conversations), s as (select *, len(list_intersect(list_distinct(p), e)) as s from p where e is not null)
     select conv_id, turn, round(case when s = 0 then 0.0 else 2.0 * s / (len(p) + len(e)) end, 6) as f1 from s""")
 def t26_answer_f1(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"), F.lead(F.coalesce("text", F.lit(""))).over(w).alias("e"))
-    return c.where("e is not null").select("conv_id", "turn", R(text.answer_f1(F.col("t"), F.col("e"))).alias("f1"))
+    """Each turn against the next one of its conversation."""
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("e"))
+    before = {"t": lambda w: F.first("e").over(w), "at": lambda w: F.first("turn").over(w), "k_": lambda w: F.count("*").over(w)}
+    pairs = ordered.framed(c, "conv_id", ["turn"], 1, before).where("k_ = 2")
+    return pairs.select("conv_id", F.col("at").alias("turn"), R(text.answer_f1(F.col("t"), F.col("e"))).alias("f1"))
 
 
 @query()

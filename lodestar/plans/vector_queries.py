@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import energy, graph_index, knn, store
+from ..operators import energy, graph_index, knn, ordered, store
 from ..session import load
 from .registry import query
 
@@ -319,10 +319,8 @@ def a10_ordered_split(spark, sf_dir):
     e = emb(spark, sf_dir).select("vec_id")
     n = e.count()
     train, val = int(n * 0.8), int(n * 0.1)
-    last = lambda k: e.orderBy("vec_id").limit(k).agg(F.max("vec_id")).first()[0]
-    a, b = last(train), last(train + val)
-    split = F.when(F.col("vec_id") <= a, "train").when(F.col("vec_id") <= b, "validation").otherwise("test")
-    return e.groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
+    split = F.when(F.col("i") <= train, "train").when(F.col("i") <= train + val, "validation").otherwise("test")
+    return ordered.numbered(e, ["vec_id"], "i").groupBy(split.alias("split")).agg(F.count("*").alias("n"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
 
 
 @query(f"{MIX} select label as cluster, n::bigint as n, round(alpha, 6) as alpha, round(kappa, 5) as kappa, round(list_sum(mu), 6) as total from s")

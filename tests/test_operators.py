@@ -106,11 +106,28 @@ def test_store(spark):
     assert sorted((r.id, r.v) for r in store.upsert(base, new, "id", "at").collect()) == [(1, "a"), (2, "c"), (3, "d")]
     rows, fits = store.append(base, new, 4)
     assert not fits and rows.count() == 2
-    got = store.numbered(spark.createDataFrame([(3, 1), (1, 1), (2, 0), (2, 2)], "a int, b int"), ["a", "b"], "n").orderBy("n").collect()
-    assert [(r.a, r.b, r.n) for r in got] == [(1, 1, 1), (2, 0, 2), (2, 2, 3), (3, 1, 4)]
     assert store.tiers(base.where("false"), F.col("at"), "id").count() == 0
 
 
+def test_ordered_windows(spark):
+    """Blocks of three rows give the frames of whole groups."""
+    from pyspark.sql import Window
+
+    from lodestar.operators import ordered
+
+    rows = spark.createDataFrame([("a" if i % 4 else "b", i, float(i * 7 % 5)) for i in range(40)] + [(None, 99, 1.0), (None, 98, 2.0)], "g string, i long, x double")
+    number = ordered.numbered(rows.select("g", "i"), ["g", "i"], "n").orderBy("n").collect()
+    assert [r.n for r in number] == list(range(1, 43)) and [(r.g or "", r.i) for r in number] == sorted((r.g or "", r.i) for r in number)
+    w = Window.partitionBy("g").orderBy("i")
+    want = {(r.g, r.i): tuple(r)[3:] for r in rows.select("*", F.sum("x").over(w.rowsBetween(-2, 0)), F.avg("x").over(w.rowsBetween(-2, -1)), F.sum("x").over(w), F.row_number().over(w), F.count("*").over(Window.partitionBy("g"))).collect()}
+    at = lambda r: want[r.g, r.i]
+    assert all(r.s == at(r)[0] for r in ordered.framed(rows, "g", ["i"], 2, {"s": lambda w: F.sum("x").over(w)}, block=3).collect())
+    assert all(r.s == at(r)[1] for r in ordered.framed(rows, "g", ["i"], 2, {"s": lambda w: F.avg("x").over(w)}, until=-1, block=4).collect())
+    assert all(r.s == at(r)[2] for r in ordered.running(rows, "g", ["i"], {"s": F.col("x")}).collect())
+    assert all((r.i_, r.n_) == at(r)[3:] for r in ordered.placed(rows, "g", ["i"]).collect())
+    assert ordered.framed(rows.where("false"), "g", ["i"], 2, {"s": lambda w: F.sum("x").over(w)}).count() == 0
+
+
 def test_result_cache():
     now = [0.0]
     cache = routing.ResultCache(capacity=1, ttl=10, clock=lambda: now[0])
@@ -197,3 +214,21 @@ def test_without_the_text_operators():
     finally:
         builtins.__import__ = real
         importlib.reload(__spark_entry__)
+
+
+def test_engine(spark, vectors):
+    from lodestar.engine import Engine
+
+    docs = spark.createDataFrame([(i, f"word{i % 4} text") for i in range(25)], "doc_id long, text string")
+    e = Engine(vectors, docs, "simple").build_index()
+    assert [r.vec_id for r in e.search([4, 4], 2).collect()] == [24, 19]
+    assert [r.vec_id for r in e.search([4, 4], 1, F.col("label") == 1).collect()] == [19]
+    q = spark.createDataFrame([(7, [4.0, 4.0])], "qid long, embedding array<float>")
+    assert e.search_batch(q, 1, approximate=True).first().vec_id == e.search_batch(q, 1).first().vec_id == 24
+    assert e.search_hybrid([4, 4], "word0", 3).count() == 3
+    assert e.search_cached([0, 0], 1) == e.search_cached([0, 0], 1) and e.cache.hits == 1
+    e.remove(spark.createDataFrame([(24,)], "vec_id long"))
+    assert e.search([4, 4], 1).first().vec_id == 19 and e.stats()["n_vectors"] == 25 and e.stats()["n_documents"] == 24
+    e.add(spark.createDataFrame([(19, [9.0, 9.0], 1)], vectors.schema))
+    assert e.search([9, 9], 1).first().vec_id == 19 and e.vectors.count() == 25
+    assert e.confidence().count() == 25
