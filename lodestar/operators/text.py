@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 TOKEN = "([a-záéíóúñü0-9]+)"
 K1, B = 1.5, 0.75
 
@@ -40,8 +42,8 @@ def doc_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def bm25(docs: DataFrame, query: str | list[str], k: int | None = 10, allowed: DataFrame | None = None, k1: float = K1, b: float = B, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of the best documents; repeated query words count as often as they occur.
 
-    Only the query's words leave the scan: the tokens of each text are filtered before they are
-    exploded, and document counts come from the same pass. ``allowed`` narrows the results, not the statistics.
+    Texts are read once: each one's length and its tokens among the query's words are written, and
+    both the statistics and the scores come from that narrow table. ``allowed`` narrows the results, not the statistics.
     """
     import re
 
@@ -51,8 +53,10 @@ def bm25(docs: DataFrame, query: str | list[str], k: int | None = 10, allowed: D
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     asked = F.array(*[F.lit(w) for w in sorted(weight)])
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.filter("t", lambda x: F.array_contains(asked, x)).alias("t"))
+    rows = written(rows, "query-postings")
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = rows.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    counted = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
+    tf = rows.select("doc_id", "dl", F.explode(counted).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query word
     s = stats.first()
     scored = tf.join(F.broadcast(df), "term")

@@ -297,7 +297,8 @@ def shard_hits(spark, sf_dir, k=20):
     """The k best of each shard: (shard, vec_id, distance, rank from 0)."""
     rows = emb(spark, sf_dir).select((F.col("vec_id") % 4).alias("shard"), "vec_id", V.l2(V.vec("embedding"), knn.literal(first(spark, sf_dir))).alias("distance"))
     w = Window.partitionBy("shard").orderBy("distance", "vec_id")
-    return rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    top = rows.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= k)  # each task passes on k rows of a shard
+    return top.withColumn("rank", F.col("n_") - 1).drop("n_")
 
 
 @query(f"{SHARDS} select vec_id, round(sum(1.0 / (61 + rank)), 8) as score, round(min(d), 6) as distance from t group by vec_id")

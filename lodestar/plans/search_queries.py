@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import graph, knn, ordered, text
-from ..session import load
+from ..session import load, written
 from .registry import query
 from .vector_queries import BASE, R, emb, first
 
@@ -51,9 +51,11 @@ def t01_tokens(spark, sf_dir):
 
 @query(f"{BM} select term, df, (select sum(tf)::bigint from tf x where x.term = df.term) as total, round((select avgdl from st), 6) as avgdl from df")
 def t02_bm25_index(spark, sf_dir):
+    """One pass over the texts; the mean length follows from the index and the number of rows."""
     d = docs(spark, sf_dir)
-    stats = text.doc_lengths(d).agg(F.round(F.avg("dl"), 6).alias("avgdl")).first()
-    return text.postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).withColumn("avgdl", F.lit(stats.avgdl))
+    index = written(text.postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "index")
+    n, total = d.count(), index.agg(F.sum("total")).first()[0]
+    return index.withColumn("avgdl", F.lit(round((total or 0) / max(n, 1), 6)))
 
 
 @query(f"{BM} select doc_id, round(score, 6) as score from bm order by round(score, 9) desc, doc_id limit 10")
