@@ -54,18 +54,59 @@ def seeded(vectors: DataFrame, k: int, seed: int = 42, vec: str = "embedding", k
     return as_centers(vectors.sparkSession, fit(_sample(vectors, k * SAMPLE_PER_CENTER, vec, key), k, seed))
 
 
+def center_arrays(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(clusters, centers) of a checked size, in order of cluster."""
+    rows = centers.select("cluster", "center").limit(knn.MAX_CENTERS + 1).collect()
+    if len(rows) > knn.MAX_CENTERS:
+        raise ValueError(f"more than {knn.MAX_CENTERS} centers: join them instead")
+    rows = sorted(rows, key=lambda r: r.cluster)
+    return np.array([r.cluster for r in rows], dtype=np.int64), np.array([r.center for r in rows], dtype=np.float64)
+
+
 def assign(vectors: DataFrame, centers: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, cluster, distance) of every row: its nearest center, ties by cluster."""
-    v = V.vec(vec)
-    best = F.array_min(F.transform(knn.center_table(centers), lambda c: F.struct(V.l2(v, c.center).alias("d"), c.cluster.alias("cluster"))))
-    return vectors.select(key, best.alias("b")).select(key, F.col("b.cluster").alias("cluster"), F.col("b.d").alias("distance"))
+    """(key, cluster, distance) of every row: its nearest center, ties by cluster; null for null vectors and other dimensions."""
+    held = vectors.sparkSession.sparkContext.broadcast(center_arrays(centers))
+
+    def run(batches):
+        ids, table = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            best = np.full(b.num_rows, np.inf)
+            cluster = np.zeros(b.num_rows, dtype=np.int64)
+            ok = np.zeros(b.num_rows, dtype=bool)
+            if len(ids):
+                x, ok = knn.matrix(b.column(1), table.shape[1])
+                low, at = np.full(len(x), np.inf), np.zeros(len(x), dtype=np.int64)
+                for i, c in enumerate(table):
+                    d = ((x - c) ** 2).sum(axis=1)
+                    closer = d < low
+                    low[closer], at[closer] = d[closer], ids[i]
+                best[ok], cluster[ok] = np.sqrt(low), at
+            yield pa.record_batch([b.column(0), pa.array(cluster, mask=~ok), pa.array(best, mask=~ok)], names=["key", "cluster", "distance"])
+
+    out = vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<float>")).mapInArrow(run, "key long, cluster long, distance double")
+    return out.select(F.col("key").alias(key), F.col("cluster").cast(centers.schema["cluster"].dataType).alias("cluster"), "distance")
 
 
 def lloyd_step(vectors: DataFrame, centers: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(cluster, center, n): means of what is nearest to each center."""
-    v = V.vec(vec)
-    near = F.array_min(F.transform(knn.center_table(centers), lambda c: F.struct(V.l2(v, c.center).alias("d"), c.cluster.alias("cluster"))))
-    return knn.centroids(vectors.withColumn("cluster_", near.cluster), "cluster_", vec)
+    """(cluster, center, n): means of what is nearest to each center; each Arrow batch passes on one sum for each center."""
+    held = vectors.sparkSession.sparkContext.broadcast(center_arrays(centers))
+
+    def run(batches):
+        ids, table = held.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            x, _ = knn.matrix(b.column(0), table.shape[1])
+            near = ((x[:, None] - table[None]) ** 2).sum(-1).argmin(1) if x.size * len(ids) < 1 << 24 else np.array([((table - r) ** 2).sum(1).argmin() for r in x])
+            for i in np.unique(near):
+                yield pa.record_batch([pa.array([ids[i]]), pa.array([x[near == i].sum(axis=0).tolist()], pa.list_(pa.float64())), pa.array([int((near == i).sum())])], names=["cluster", "total", "n"])
+
+    parts = vectors.select(F.col(vec).cast("array<float>")).mapInArrow(run, "cluster long, total array<double>, n long")
+    each = parts.select("cluster", "n", F.posexplode("total").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    out = each.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"), F.max("n").alias("n"))  # one row for each component
+    return out.select(F.col("cluster").cast(centers.schema["cluster"].dataType).alias("cluster"), F.transform("c", lambda s: s.x / F.col("n")).alias("center"), "n")
 
 
 def two_level(vectors: DataFrame, coarse: int, fine: int, vec: str = "embedding", key: str = "vec_id") -> DataFrame:

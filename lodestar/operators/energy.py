@@ -21,13 +21,44 @@ def splats(vectors: DataFrame, cluster: str, vec: str = "embedding") -> DataFram
 
 
 def splat_energy(vectors: DataFrame, mix: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, energy): -ln of the sum of alpha exp(-kappa d2); 10 where nothing is near. The mixture is collected once: it has a row for each cluster."""
+    """(key, energy): -ln of the sum of alpha exp(-kappa d2); 10 where nothing is near or there is no splat; null for null vectors and other dimensions.
+
+    The mixture is a model of a checked size; a batch of vectors meets one splat after the other.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from . import knn
+
     if mix.isEmpty():
         return vectors.select(key, F.lit(FLAT).alias("energy"))
-    table = held_mix(mix)
-    v = V.vec(vec)
-    p = F.aggregate(table, F.lit(0.0), lambda s, t: s + t.a * F.exp(-t.k * V.l2_squared(v, t.mu)))
-    return vectors.select(key, p.alias("p")).select(key, F.when(F.col("p") < 1e-10, FLAT).otherwise(-F.log("p")).alias("energy"))
+    rows = sorted(_held(mix), key=lambda r: r.cluster)
+    held = vectors.sparkSession.sparkContext.broadcast((np.array([r.mu for r in rows]), [(float(r.alpha), float(r.kappa)) for r in rows]))
+
+    def run(batches):
+        mu, weights = held.value
+        for b in batches:
+            if b.num_rows:
+                x, ok = knn.matrix(b.column(1), mu.shape[1])
+                p = np.zeros(len(x))
+                for m, (a, k) in zip(mu, weights):
+                    p += a * np.exp(-k * ((x - m) ** 2).sum(axis=1))
+                e = np.zeros(b.num_rows)
+                e[ok] = np.where(p < 1e-10, FLAT, -np.log(np.maximum(p, 1e-300)))
+                yield pa.record_batch([b.column(0), pa.array(e, mask=~ok)], names=["key", "energy"])
+
+    schema = T.StructType([T.StructField("key", vectors.schema[key].dataType), T.StructField("energy", T.DoubleType())])
+    return vectors.select(F.col(key).alias("key"), V.vec(vec).alias("v")).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def _held(mix: DataFrame) -> list:
+    from . import knn
+
+    rows = mix.select("cluster", "mu", "alpha", "kappa").limit(knn.MAX_CENTERS + 1).collect()
+    if len(rows) > knn.MAX_CENTERS:
+        raise ValueError(f"more than {knn.MAX_CENTERS} splats")
+    return rows
 
 
 def geometric_energy(v: Column) -> Column:
@@ -66,13 +97,10 @@ def boltzmann(rows: DataFrame, energy: str, k: int, temperature: float = 1.0, se
 
 
 def held_mix(mix: DataFrame) -> Column:
-    """The mixture as one array literal of (mu, a, k); it has a row for each cluster, at most knn.MAX_CENTERS."""
+    """The mixture as one array literal of (mu, a, k)."""
     from . import knn
 
-    rows = mix.select("cluster", "mu", "alpha", "kappa").limit(knn.MAX_CENTERS + 1).collect()
-    if len(rows) > knn.MAX_CENTERS:
-        raise ValueError(f"more than {knn.MAX_CENTERS} splats")
-    return F.array(*[F.struct(knn.literal(r.mu).alias("mu"), F.lit(float(r.alpha)).alias("a"), F.lit(float(r.kappa)).alias("k")) for r in rows])
+    return F.array(*[F.struct(knn.literal(r.mu).alias("mu"), F.lit(float(r.alpha)).alias("a"), F.lit(float(r.kappa)).alias("k")) for r in _held(mix)])
 
 
 def gradient(vectors: DataFrame, mix: DataFrame, vec: str = "embedding", key: str = "vec_id") -> DataFrame:

@@ -43,6 +43,14 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in q])
 
 
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, which): the vectors of ``dim`` components as a matrix, and which rows of the column they are."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    which = sizes == dim
+    flat = column.filter(pa.array(which)).flatten() if not which.all() else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), which
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", key: str = "vec_id", qid: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, key, distance, rank) of each query's k nearest rows, ties by key.
 

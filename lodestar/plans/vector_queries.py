@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import energy, graph_index, knn, ordered, store
+from ..operators import clustering, energy, graph_index, knn, ordered, store
 from ..session import load
 from .registry import query
 
@@ -295,9 +295,7 @@ MIX = f"""{BASE}, m as (select label, i, avg(v[i]) as x, var_pop(v[i]) * count(*
 @query(f"{MIX}, d as (select e.vec_id, s.label, list_distance(v, mu) as d, row_number() over (partition by e.vec_id order by list_distance(v, mu), s.label) as r from e, s) select vec_id, label as cluster, round(d, 6) as distance from d where r = 1")
 def a03_assign(spark, sf_dir):
     e = emb(spark, sf_dir)
-    v = V.vec("embedding")
-    best = F.array_min(F.transform(knn.center_table(knn.centroids(e, "label")), lambda c: F.struct(V.l2(v, c.center).alias("d"), c.cluster.alias("cluster"))))
-    return e.select("vec_id", best.alias("m")).select("vec_id", F.col("m.cluster").alias("cluster"), R(F.col("m.d")).alias("distance"))
+    return clustering.assign(e, knn.centroids(e, "label")).withColumn("distance", R(F.col("distance")))
 
 
 @query(f"{MIX} select label as cluster, n::bigint as n, round(list_sum(mu), 6) as total, round(mu[1], 6) as x1 from s")

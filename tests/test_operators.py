@@ -232,3 +232,17 @@ def test_engine(spark, vectors):
     e.add(spark.createDataFrame([(19, [9.0, 9.0], 1)], vectors.schema))
     assert e.search([9, 9], 1).first().vec_id == 19 and e.vectors.count() == 25
     assert e.confidence().count() == 25
+
+
+def test_odd_vectors(spark):
+    """Null vectors and other dimensions get null; ties go to the smaller cluster."""
+    from lodestar.operators import clustering
+
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0])], "vec_id long, embedding array<float>")
+    centers = spark.createDataFrame([(5, [0.0, 1.0]), (3, [0.0, -1.0])], "cluster int, center array<double>")
+    got = {r.vec_id: (r.cluster, r.distance) for r in clustering.assign(df, centers).collect()}
+    assert got == {1: (5, 0.0), 2: (None, None), 3: (None, None), 4: (3, 1.0)}
+    mix = spark.createDataFrame([(0, [0.0, 1.0], 1.0, 1.0)], "cluster int, mu array<double>, alpha double, kappa double")
+    assert {r.vec_id: r.energy is None for r in energy.splat_energy(df, mix).collect()} == {1: False, 2: True, 3: True, 4: False}
+    step = {r.cluster: (list(r.center), r.n) for r in clustering.lloyd_step(df, centers).collect()}
+    assert step == {5: ([0.0, 1.0], 1), 3: ([0.0, 0.0], 1)}
