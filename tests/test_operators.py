@@ -246,3 +246,44 @@ def test_odd_vectors(spark):
     assert {r.vec_id: r.energy is None for r in energy.splat_energy(df, mix).collect()} == {1: False, 2: True, 3: True, 4: False}
     step = {r.cluster: (list(r.center), r.n) for r in clustering.lloyd_step(df, centers).collect()}
     assert step == {5: ([0.0, 1.0], 1), 3: ([0.0, 0.0], 1)}
+
+
+def test_clusterings(spark):
+    """Four well-separated groups are found by every method, and every row is assigned."""
+    from lodestar.operators import clustering
+
+    rng = np.random.default_rng(4)
+    x = np.repeat([[0, 0], [10, 0], [0, 10], [10, 10]], 50, axis=0) + rng.uniform(-0.5, 0.5, (200, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+    def pure(rows, c="cluster"):
+        found = {r.vec_id: r[c] for r in rows.collect()}
+        assert len(found) == 200
+        return len({(i // 50, c) for i, c in found.items()}) == len(set(found.values())) == 4
+
+    assert pure(clustering.assign(df, clustering.seeded(df, 4)))
+    assert pure(clustering.map_reduce(df, 4))
+    assert pure(clustering.leaders(df, 3.0))
+    both = clustering.two_level(df, 4, 3).cache()
+    assert pure(both, "coarse_id") and both.select("fine_id").distinct().count() == 3
+    with pytest.raises(ValueError):
+        clustering.leaders(df, 0.001, most=10)
+
+
+def test_exploration(spark):
+    mix = spark.createDataFrame([(0, [0.0, 0.0], 0.9, 1.0), (1, [1.0, 0.0], 0.05, 1.0), (2, [5.0, 5.0], 0.05, 1.0)], "cluster int, mu array<double>, alpha double, kappa double")
+    rows = energy.avalanche(mix).collect()
+    assert sum(r.energy for r in rows) == pytest.approx(1.0) and {r.cluster for r in rows if r.step == 0} == {0}
+    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "vec_id long, embedding array<float>")
+    found = energy.regions(v, mix, 3).collect()
+    assert 1 <= len(found) <= 3 and [r.energy for r in found] == sorted((r.energy for r in found), reverse=True)
+    scored = energy.splat_energy(v, mix)
+    drawn = energy.boltzmann(scored, "energy", 5).collect()
+    assert len({r.vec_id for r in drawn}) == 5 and energy.boltzmann(scored, "energy", 50).count() == 12
+
+
+def test_multi_probe():
+    x = np.random.default_rng(1).standard_normal((20, 8))
+    own = sketches.cross_polytope(x, 2)
+    for row, probes in zip(own.tolist(), sketches.multi_probe(x, 2, top=3, n=6)):
+        assert probes[0] == row and len(probes) == 6 and len({tuple(p) for p in probes}) == 6
