@@ -174,6 +174,26 @@ def test_secrets_by_model(spark):
     assert got == {1: "random:4:28", 2: "", 3: ""}
 
 
+def test_secrets_recall(spark):
+    """Held-out random strings of every alphabet are found, held-out identifiers are not."""
+    import random
+
+    from lodestar.llm import secrets
+
+    draw = random.Random(5)
+    lower, upper, digits = secrets.LETTERS[:26], secrets.LETTERS[26:52], secrets.LETTERS[52:]
+    least = {(secrets.LETTERS, 16): 0.95, (lower + digits, 16): 0.95, (upper + digits, 16): 0.94, (secrets.LETTERS, 24): 0.98, (lower + digits, 24): 0.98, (lower + digits, 40): 0.99, (lower + digits, 12): 0.9}
+    table = secrets.fit(secrets.samples(spark))
+    found = lambda rows: {r.doc_id: r.spans for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string"), table).collect()}
+    for (letters, n), share in least.items():
+        got = found([(i, "see " + "".join(draw.choice(letters) for _ in range(n)) + " here") for i in range(400)])
+        assert sum(x != "" for x in got.values()) >= share * 400, (letters, n)
+    words = secrets._WORDS
+    pairs = [(w, words[(i * 11 + 5) % len(words)]) for i, w in enumerate(words)]
+    plain = [f"{w}_{v}" for w, v in pairs] + [w + v.capitalize() for w, v in pairs] + [f"{w}-{v}2024" for w, v in pairs] + [f"20{10 + i % 9}-0{i % 9 + 1}-11_{w}" for i, (w, _) in enumerate(pairs)]
+    assert not any(found(list(enumerate(plain))).values())
+
+
 def test_packing(spark, docs, none):
     from lodestar.llm import packing
 
