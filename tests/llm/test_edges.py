@@ -142,6 +142,30 @@ def test_licenses(spark, none):
     assert licenses.scan(df.where("false"), F.col("p")).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Headers wrapped at any width and behind comment marks, whole files and short forms are found; prose is not."""
+    import textwrap
+
+    from lodestar.llm import licenses
+
+    whole = {"MIT": f"MIT License\n\nCopyright (c) 2020 A. Name\n\n{{}}\n\n{licenses.MIT_REST}", "BSD-2-Clause": f"Copyright (c) 2020, A. Name\nAll rights reserved.\n\n{{}}\n\n{licenses.BSD[1]}"}
+    opening = {"MIT": licenses.MIT_GRANT, "BSD-2-Clause": licenses.BSD[0]}
+    header = [(n, licenses.GNU.format(a, b, c)) for n, a, b, c in (("GPL-3.0", "program", "GNU General", "either version 3"), ("GPL-2.0", "program", "GNU General", "either version 2"), ("LGPL-2.1", "library", "GNU Lesser General", "either version 2.1"))]
+    header.append(("BSD-3-Clause", licenses.BSD[0].split(":")[0] + ":"))
+    rows = []
+    for width in (60, 72, 100):
+        for name, text in header:
+            for mark in ("", "# ", " * "):
+                rows.append((name, False, "\n".join(["import os", "", *[mark + x for x in textwrap.wrap(text, width)], "", WORDS, WORDS])))
+        for name, text in whole.items():
+            rows.append((name, True, "\n".join("\n".join(textwrap.wrap(x, width)) for x in text.format(opening[name]).split("\n"))))
+    rows += [(n, True, x) for n, x in (("MIT", "Licensed under the MIT license."), ("MIT", "The MIT License (MIT)"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"))]
+    rows += [(None, False, x) for x in ("mit", "wir gehen mit\nder license", "a text without any license and\nwithout restriction", WORDS)]
+    df = spark.createDataFrame([(i, x, f"d{i}/x") for i, (_, _, x) in enumerate(rows)], "doc_id long, text string, p string")
+    got = {r.doc_id: (r.own, r.is_file) for r in licenses.scan(df, F.col("p")).collect()}
+    assert [x for x in ((got[i], (n, f), t) for i, (n, f, t) in enumerate(rows)) if x[0] != x[1]] == []
+
+
 def test_rules(spark, docs, none):
     from lodestar.llm import rules
 
