@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
+from ..session import written
+from . import knn
 
 #: Rows of one graph; what a task holds is bounded by it.
 MAX_PART = 20_000
-MAX_QUERIES = 4096
 
 
 def walk(x: np.ndarray, near, v: np.ndarray, width: int) -> list[tuple[float, int]]:
@@ -80,23 +80,26 @@ def broken(index: DataFrame) -> DataFrame:
     return ends.join(index.select("part", F.col("pos").alias("near")), ["part", "near"], "left_anti")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 64, vec: str = "embedding", key: str = "vec_id", qid: str = "qid") -> DataFrame:
-    """(qid, key, distance, rank): each part's best, merged."""
-    rows = queries.select(F.col(qid).cast("long"), V.vec(vec)).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in blocks")
-    held = index.sparkSession.sparkContext.broadcast([(r[0], np.array(r[1])) for r in rows])
+def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 64, vec: str = "embedding", key: str = "vec_id", qid: str = "qid", block: int = knn.QUERY_BLOCK) -> DataFrame:
+    """(qid, key, distance, rank): each part's best, merged. Queries go in blocks; with several the index is written first, so that it is built once."""
+    blocks = knn.query_blocks(queries, vec, qid, block)
+    if len(blocks) > 1:
+        index = written(index, "graph")
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("pos").to_numpy())
-        keys = table.column("key").to_numpy()[order]
-        x = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(table.num_rows, -1)[order]
-        all_near = table.column("near").to_pylist()
-        near = [all_near[i] for i in order]
-        out = [(name, int(keys[j]), float(np.sqrt(d))) for name, v in held.value for d, j in walk(x, near, v, max(ef, k))[:k]]
-        return pa.table({"qid": pa.array([o[0] for o in out], pa.int64()), "key": pa.array([o[1] for o in out], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
+    def walked(held):
+        def run(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("pos").to_numpy())
+            keys = table.column("key").to_numpy()[order]
+            x = table.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(table.num_rows, -1)[order]
+            all_near = table.column("near").to_pylist()
+            near = [all_near[i] for i in order]
+            out = [(int(name), int(keys[j]), float(np.sqrt(d))) for name, v in zip(*held.value) for d, j in walk(x, near, v, max(ef, k))[:k]]
+            return pa.table({"qid": pa.array([o[0] for o in out], pa.int64()), "key": pa.array([o[1] for o in out], pa.int64()), "distance": pa.array([o[2] for o in out], pa.float64())})
+
+        return run
 
-    found = index.withColumnRenamed(key, "key").select("part", "key", "pos", "v", "near").groupBy("part").applyInArrow(run, "qid long, key long, distance double")
+    rows = index.withColumnRenamed(key, "key").select("part", "key", "pos", "v", "near").groupBy("part")
+    found = knn.united(rows.applyInArrow(walked(held), "qid long, key long, distance double") for held in blocks)
     w = Window.partitionBy("qid").orderBy("distance", "key")
     out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("qid").alias(qid), F.col("key").alias(key), "distance", "rank")

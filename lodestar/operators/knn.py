@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -51,6 +53,22 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), which
 
 
+def query_blocks(queries: DataFrame, vec: str = "embedding", qid: str = "qid", block: int = QUERY_BLOCK) -> list:
+    """Broadcast (ids, matrix) of the queries, about ``block`` in each."""
+    parts = max(1, -(-queries.count() // block))
+    out = []
+    for part in range(parts):
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(qid), F.lit(parts)) == part)
+        rows = own.select(F.col(qid).cast("long"), V.vec(vec)).collect()
+        out.append(queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64))))
+    return out
+
+
+def united(frames) -> DataFrame:
+    """The rows of all frames, which have the same columns."""
+    return reduce(DataFrame.unionByName, frames)
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", key: str = "vec_id", qid: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, key, distance, rank) of each query's k nearest rows, ties by key.
 
@@ -119,14 +137,10 @@ def center_table(centers: DataFrame) -> Column:
     return F.array(*[F.struct(literal(r.center).alias("center"), F.lit(r.cluster).alias("cluster")) for r in sorted(rows, key=lambda r: r.cluster)])
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, group: str, vec: str = "embedding", qid: str = "qid") -> DataFrame:
-    """(qid, group, similarity): the largest cosine of each query and group; each Arrow batch passes on its own largest."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: take them in blocks")
-    rows = queries.select(F.col(qid).cast("long"), V.vec(vec)).collect()
-    held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
+def similarities(vectors: DataFrame, queries: DataFrame, group: str, vec: str = "embedding", qid: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, group, similarity): the largest cosine of each query and group; each Arrow batch passes on its own largest. Queries go in blocks."""
 
-    def run(batches):
+    def run(batches, held):
         ids, q = held.value
         for b in batches:
             if not b.num_rows or not len(ids):
@@ -137,18 +151,15 @@ def similarities(vectors: DataFrame, queries: DataFrame, group: str, vec: str =
             for k in np.unique(g):
                 yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), k, dtype=np.int64)), pa.array(s[:, g == k].max(axis=1))], names=["qid", "g", "similarity"])
 
-    found = vectors.select(F.col(group).cast("long"), F.col(vec).cast("array<float>")).mapInArrow(run, "qid long, g long, similarity double")
+    rows = vectors.select(F.col(group).cast("long"), F.col(vec).cast("array<float>"))
+    found = united(rows.mapInArrow(partial(run, held=held), "qid long, g long, similarity double") for held in query_blocks(queries, vec, qid, block))
     return found.groupBy(F.col("qid").alias(qid), F.col("g").cast(vectors.schema[group].dataType).alias(group)).agg(F.max("similarity").alias("similarity"))
 
 
-def all_similarities(vectors: DataFrame, queries: DataFrame, vec: str = "embedding", key: str = "vec_id", qid: str = "qid") -> DataFrame:
-    """(qid, key, similarity) of a bounded query set against every row; nothing is shuffled."""
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: take them in blocks")
-    rows = queries.select(F.col(qid).cast("long"), V.vec(vec)).collect()
-    held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
+def all_similarities(vectors: DataFrame, queries: DataFrame, vec: str = "embedding", key: str = "vec_id", qid: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, key, similarity) of a query set, taken in blocks, against every row; nothing is shuffled."""
 
-    def run(batches):
+    def run(batches, held):
         ids, q = held.value
         for b in batches:
             if b.num_rows and len(ids):
@@ -157,7 +168,8 @@ def all_similarities(vectors: DataFrame, queries: DataFrame, vec: str = "embeddi
                 s = 1.0 - _distances(q, x, "cosine")
                 yield pa.record_batch([pa.array(np.repeat(ids, len(keys))), pa.array(np.tile(keys, len(ids))), pa.array(s.ravel())], names=["qid", "key", "similarity"])
 
-    out = vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<float>")).mapInArrow(run, "qid long, key long, similarity double")
+    rows = vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<float>"))
+    out = united(rows.mapInArrow(partial(run, held=held), "qid long, key long, similarity double") for held in query_blocks(queries, vec, qid, block))
     return out.select(F.col("qid").alias(qid), F.col("key").alias(key), "similarity")
 
 

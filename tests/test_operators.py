@@ -59,6 +59,23 @@ def test_graph_index(spark):
     assert r.n_queries == 30 and r.recall >= 0.95
 
 
+def test_query_blocks(spark):
+    """Any number of queries is taken, in blocks, with the results of one block."""
+    x = np.random.default_rng(2).standard_normal((4200, 4))
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    q = df.withColumnRenamed("vec_id", "qid").select("qid", "embedding")
+    few, base = q.where("qid < 40"), df.where("vec_id < 200")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(knn.all_similarities(base, few, block=7)) == rows(knn.all_similarities(base, few))
+    assert rows(knn.similarities(base, few, "label", block=7)) == rows(knn.similarities(base, few, "label"))
+    index = graph_index.build(base)
+    assert rows(graph_index.search(index, few, 5, block=7)) == rows(graph_index.search(index, few, 5))
+    small = df.where("vec_id < 30")
+    assert knn.all_similarities(small, q).count() == 4200 * 30 and knn.similarities(small, q, "label").count() == 4200 * 3
+    assert graph_index.search(graph_index.build(small), q, 3).count() == 4200 * 3
+    assert knn.all_similarities(small, q.where("false")).count() == 0
+
+
 def test_energy(spark):
     none = spark.createDataFrame([], "cluster int, mu array<double>, alpha double, kappa double")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
