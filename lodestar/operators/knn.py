@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import written
 
 #: Query vectors that are sent to every executor at once; a larger set is taken in blocks.
 QUERY_BLOCK = 4096
@@ -202,13 +203,46 @@ def sign_buckets(vectors: DataFrame, tables: int = 16, bits: int = 8, seed: int
     return vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("v")).mapInArrow(run, "key long, table_id int, bucket long")
 
 
-def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 16, bits: int = 8, vec: str = "embedding", key: str = "vec_id", qid: str = "qid") -> DataFrame:
-    """Candidates by an equi-join on (table, bucket), exact distances on them, top k for each query."""
-    base = sign_buckets(vectors, tables, bits, vec=vec, key=key)
-    asked = sign_buckets(queries, tables, bits, vec=vec, key=qid).withColumnRenamed("key", "qid")
-    pairs = asked.join(base, ["table_id", "bucket"]).select("qid", "key").distinct()
-    d = V.l2(F.col("v"), F.col("q"))
-    near = pairs.join(vectors.select(F.col(key).alias("key"), V.vec(vec).alias("v")), "key").join(queries.select(F.col(qid).alias("qid"), V.vec(vec).alias("q")), "qid")
+def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 32, bits: int = 8, flips: int = 1, seed: int = 7, vec: str = "embedding", key: str = "vec_id", qid: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, key, distance, rank): exact distances on the candidates, top k for each query.
+
+    Candidates share a query's bucket in one of the tables, or lie in a bucket that differs in
+    ``flips`` bits at most. Each Arrow batch passes on its own k best. Queries with fewer than k
+    candidates are answered exactly, so they have k rows where the table does.
+    """
+    near = np.array([[j for j in range(1 << bits) if (i ^ j).bit_count() <= flips] for i in range(1 << bits)])
+
+    def run(batches, held):
+        ids, q = held.value
+        if not len(ids):
+            return
+        planes = np.random.default_rng(seed).standard_normal((q.shape[1], tables * bits))
+        codes = lambda x: ((x @ planes >= 0).reshape(len(x), tables, bits) << np.arange(bits)).sum(axis=2)
+        asked = codes(q)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
+            # for each table and bucket, the rows in it or beside it, as bits
+            held_in = [np.packbits(np.arange(1 << bits)[:, None] == own[None], axis=1) for own in codes(x).T]
+            beside = np.stack([np.bitwise_or.reduce(bucket[near], axis=1) for bucket in held_in])
+            for i, name in enumerate(ids):
+                at = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(beside[np.arange(tables), asked[i]], axis=0), count=len(x)))
+                d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
+                if k < len(at):
+                    keep = d <= np.partition(d, k - 1)[k - 1]
+                    at, d = at[keep], d[keep]
+                if len(at):
+                    yield pa.record_batch([pa.array(np.full(len(at), name)), pa.array(keys[at]), pa.array(d)], names=["qid", "key", "distance"])
+
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("v"))
+    found = united(rows.mapInArrow(partial(run, held=held), "qid long, key long, distance double") for held in query_blocks(queries, vec, qid, block))
     w = Window.partitionBy("qid").orderBy("distance", "key")
-    out = near.select("qid", "key", d.alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select(F.col("qid").alias(qid), F.col("key").alias(key), "distance", "rank")
+    best = written(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "lsh")
+    out = best.select(F.col("qid").alias(qid), F.col("key").alias(key), "distance", "rank")
+    full = best.where(F.col("rank") == k).select(F.col("qid").alias(qid))
+    short = written(queries.join(full, qid, "left_anti"), "lsh-short")
+    if short.isEmpty():
+        return out
+    return out.join(full, qid, "left_semi").unionByName(knn_batch(vectors, short, k, vec=vec, key=key, qid=qid, block=block)).select(qid, key, "distance", "rank")

@@ -76,6 +76,20 @@ def test_query_blocks(spark):
     assert knn.all_similarities(small, q.where("false")).count() == 0
 
 
+def test_lsh_recall(spark):
+    """Recall at 10 is 0.9 or more on vectors without clusters, and no query has fewer than k rows."""
+    x = np.random.default_rng(3).standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    r = knn.recall(knn.lsh_search(df, q, 10), knn.knn_batch(df, q, 10), 10).first()
+    assert r.n_queries == 100 and r.recall >= 0.9
+    few, one = df.where("vec_id < 12"), q.where("qid < 60")
+    got = knn.lsh_search(few, one, 10, tables=1, flips=0)  # hardly any candidates
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, knn.knn_batch(few, one, 10).collect()))
+    assert knn.lsh_search(few, one, 20).count() == 3 * 12 and knn.lsh_search(few, one.where("false"), 5).count() == 0
+
+
 def test_energy(spark):
     none = spark.createDataFrame([], "cluster int, mu array<double>, alpha double, kappa double")
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<float>")
