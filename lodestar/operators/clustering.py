@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import written
 from . import knn
 
 #: Rows that center fitting looks at, for each center asked for.
@@ -136,8 +137,33 @@ def two_level(vectors: DataFrame, coarse: int, fine: int, vec: str = "embedding"
     return out.withColumnRenamed("key", key)
 
 
-def map_reduce(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, cluster, distance): each Arrow batch gives weighted centers; their merger gives the final ones."""
+def merged_levels(parts: DataFrame, merge, most: int) -> DataFrame:
+    """(center, n) of all Arrow batches, merged in bounded groups, level by level, until ``most`` rows or fewer are left.
+
+    ``merge(centers, weights)`` gives fewer (centers, weights) of the same sum of weights. A level
+    that leaves more than three quarters of its rows is the last. Every row enters the result.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "descending"), ("h", "ascending")])
+        x = np.array(table.column("center").to_pylist(), dtype=np.float64)
+        centers, n = merge(x, table.column("n").to_numpy().astype(np.float64))
+        return pa.table({"center": pa.array(centers.tolist(), pa.list_(pa.float64())), "n": pa.array(n, pa.float64())})
+
+    rows = written(parts.select("center", F.col("n").cast("double").alias("n")), "partial-centers")
+    count, level = rows.count(), 0
+    while count > most:
+        groups = -(-count // most)
+        dealt = rows.withColumn("h", F.xxhash64("center", "n")).withColumn("g", F.pmod(F.xxhash64("h", F.lit(level)), F.lit(groups)))
+        rows, before, level = written(dealt.groupBy("g").applyInArrow(run, "center array<double>, n double"), "partial-centers"), count, level + 1
+        count = rows.count()
+        if count > 0.75 * before:
+            break
+    return rows
+
+
+def map_reduce(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", most: int | None = None) -> DataFrame:
+    """(key, cluster, distance): each Arrow batch gives weighted centers; their mergers, at most ``most`` at once, give the final ones."""
     spark = vectors.sparkSession
 
     def run(batches):
@@ -149,15 +175,23 @@ def map_reduce(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "v
                 yield pa.record_batch([pa.array(centers.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["center", "n"])
 
     parts = vectors.select(F.col(vec).cast("array<float>")).mapInArrow(run, "center array<double>, n long").where("n > 0")
-    rows = parts.withColumn("h", F.xxhash64("center", "n")).orderBy("h").limit(k * SAMPLE_PER_CENTER).collect()
+
+    def merge(x, n):
+        centers = fit(x, k, steps=20, weights=n)
+        near = ((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1)
+        own = np.unique(near)
+        return np.array([np.average(x[near == c], axis=0, weights=n[near == c]) for c in own]), np.array([n[near == c].sum() for c in own])
+
+    most = max(most or k * SAMPLE_PER_CENTER, 8 * k)  # a group of some 8 k rows leaves k
+    rows = merged_levels(parts, merge, most).orderBy(F.xxhash64("center", "n")).collect()
     centers = fit(np.array([r.center for r in rows]), k, weights=np.array([float(r.n) for r in rows]))
     return assign(vectors, as_centers(spark, centers), vec, key)
 
 
 def leaders(vectors: DataFrame, threshold: float, vec: str = "embedding", key: str = "vec_id", most: int = knn.MAX_CENTERS) -> DataFrame:
-    """(key, cluster, distance): leaders of each Arrow batch, then leaders among those, then every row to its nearest.
+    """(key, cluster, distance): leaders of each Arrow batch, then leaders among those, level by level, then every row to its nearest.
 
-    Each task keeps at most as many leaders as its batch has rows; more than ``most`` in the end is an error.
+    Each task keeps at most as many leaders as its batch has rows; more than ``most`` final leaders are an error.
     """
 
     def follow(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +215,10 @@ def leaders(vectors: DataFrame, threshold: float, vec: str = "embedding", key: s
                 yield pa.record_batch([pa.array(centers.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["center", "n"])
 
     parts = vectors.select(F.col(vec).cast("array<float>")).mapInArrow(run, "center array<double>, n double")
-    rows = parts.orderBy(F.desc("n"), F.xxhash64("center")).limit(most + 1).collect()
-    if len(rows) > most:
+    rows = merged_levels(parts, follow, most).orderBy(F.desc("n"), F.xxhash64("center")).limit(4 * most + 1).collect()
+    centers, _ = follow(np.array([r.center for r in rows]), np.array([r.n for r in rows])) if rows else (np.zeros((0, 0)), None)
+    if len(rows) > 4 * most or len(centers) > most:
         raise ValueError(f"more than {most} leaders: the threshold is too small")
-    centers, _ = follow(np.array([r.center for r in rows]), np.array([r.n for r in rows]))
     return assign(vectors, as_centers(vectors.sparkSession, centers), vec, key)
 
 

@@ -301,6 +301,27 @@ def test_clusterings(spark):
         clustering.leaders(df, 0.001, most=10)
 
 
+def test_partial_centers(spark):
+    """More partial leaders and centers than are merged at once: all of them enter the result."""
+    from lodestar.operators import clustering
+
+    rng = np.random.default_rng(4)
+    x = np.repeat([[0, 0], [10, 0], [0, 10], [10, 10]], 100, axis=0) + rng.uniform(-0.5, 0.5, (400, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8, "vec_id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for out in (clustering.leaders(df, 3.0, most=20), clustering.map_reduce(df, 4, most=40)):
+            found = {r.vec_id: r.cluster for r in out.collect()}
+            assert len(found) == 400 and len({(i // 100, c) for i, c in found.items()}) == len(set(found.values())) == 4
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows = spark.createDataFrame([([float(i % 4), 0.0], 1.0 + i) for i in range(300)], "center array<double>, n double")
+    same = lambda x, n: (np.unique(x, axis=0), np.array([n[(x == u).all(1)].sum() for u in np.unique(x, axis=0)]))
+    got = clustering.merged_levels(rows, same, 20).collect()
+    assert len(got) <= 20 and sum(r.n for r in got) == sum(1.0 + i for i in range(300))
+
+
 def test_exploration(spark):
     mix = spark.createDataFrame([(0, [0.0, 0.0], 0.9, 1.0), (1, [1.0, 0.0], 0.05, 1.0), (2, [5.0, 5.0], 0.05, 1.0)], "cluster int, mu array<double>, alpha double, kappa double")
     rows = energy.avalanche(mix).collect()
