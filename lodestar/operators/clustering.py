@@ -50,9 +50,23 @@ def as_centers(spark, centers: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)], "cluster int, center array<double>")
 
 
-def seeded(vectors: DataFrame, k: int, seed: int = 42, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(cluster, center): k centers fitted on a bounded sample."""
-    return as_centers(vectors.sparkSession, fit(_sample(vectors, k * SAMPLE_PER_CENTER, vec, key), k, seed))
+def seeded(vectors: DataFrame, k: int, seed: int = 42, vec: str = "embedding", key: str = "vec_id", steps: int = 20, settled: float = 1e-6) -> DataFrame:
+    """(cluster, center): k centers seeded by every Arrow batch's weighted centers, then moved by passes over all rows.
+
+    The passes end when no component moves by more than ``settled``, or after ``steps``. No row is
+    left out; a center without rows stays where it is.
+    """
+    spark = vectors.sparkSession
+    centers = fitted(vectors, k, seed, vec)
+    for _ in range(steps):
+        moved = centers.copy()
+        for r in lloyd_step(vectors, as_centers(spark, centers), vec, key).collect():  # one row for each center
+            moved[r.cluster] = r.center
+        done = np.abs(moved - centers).max() <= settled
+        centers = moved
+        if done:
+            break
+    return as_centers(spark, centers)
 
 
 def center_arrays(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -162,9 +176,8 @@ def merged_levels(parts: DataFrame, merge, most: int) -> DataFrame:
     return rows
 
 
-def map_reduce(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", most: int | None = None) -> DataFrame:
-    """(key, cluster, distance): each Arrow batch gives weighted centers; their mergers, at most ``most`` at once, give the final ones."""
-    spark = vectors.sparkSession
+def fitted(vectors: DataFrame, k: int, seed: int = 42, vec: str = "embedding", most: int | None = None) -> np.ndarray:
+    """k centers from all rows: each Arrow batch gives weighted centers; their mergers, at most ``most`` at once, give the final ones."""
 
     def run(batches):
         for b in batches:
@@ -184,8 +197,12 @@ def map_reduce(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "v
 
     most = max(most or k * SAMPLE_PER_CENTER, 8 * k)  # a group of some 8 k rows leaves k
     rows = merged_levels(parts, merge, most).orderBy(F.xxhash64("center", "n")).collect()
-    centers = fit(np.array([r.center for r in rows]), k, weights=np.array([float(r.n) for r in rows]))
-    return assign(vectors, as_centers(spark, centers), vec, key)
+    return fit(np.array([r.center for r in rows]), k, seed, weights=np.array([float(r.n) for r in rows]))
+
+
+def map_reduce(vectors: DataFrame, k: int, vec: str = "embedding", key: str = "vec_id", most: int | None = None) -> DataFrame:
+    """(key, cluster, distance): each Arrow batch gives weighted centers; their mergers, at most ``most`` at once, give the final ones."""
+    return assign(vectors, as_centers(vectors.sparkSession, fitted(vectors, k, vec=vec, most=most)), vec, key)
 
 
 def leaders(vectors: DataFrame, threshold: float, vec: str = "embedding", key: str = "vec_id", most: int = knn.MAX_CENTERS) -> DataFrame:

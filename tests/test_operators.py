@@ -322,6 +322,20 @@ def test_partial_centers(spark):
     assert len(got) <= 20 and sum(r.n for r in got) == sum(1.0 + i for i in range(300))
 
 
+def test_rare_cluster(spark):
+    """Two rows of 8,000, outside any bounded sample, have a center of their own."""
+    from lodestar.operators import clustering
+
+    far = F.col("id").isin(17, 4321)
+    df = spark.range(8000).select(F.col("id").alias("vec_id"), F.when(far, F.array(F.lit(90.0), F.lit(90.0))).otherwise(F.array(F.rand(1), F.rand(2))).cast("array<float>").alias("embedding")).cache()
+    assert not (clustering._sample(df, 2 * clustering.SAMPLE_PER_CENTER, "embedding", "vec_id") > 50).any()
+    rows = clustering.assign(df, clustering.seeded(df, 2)).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in rows) == [2, 7998]
+    centers = clustering.seeded(df, 2)
+    step = {r.cluster: r.center for r in clustering.lloyd_step(df, centers).collect()}
+    assert all(np.allclose(step[r.cluster], r.center, atol=1e-5) for r in centers.collect())
+
+
 def test_exploration(spark):
     mix = spark.createDataFrame([(0, [0.0, 0.0], 0.9, 1.0), (1, [1.0, 0.0], 0.05, 1.0), (2, [5.0, 5.0], 0.05, 1.0)], "cluster int, mu array<double>, alpha double, kappa double")
     rows = energy.avalanche(mix).collect()
