@@ -45,38 +45,83 @@ def test_simhash(spark, docs, none):
     assert component[2] == 1 and component[4] == component[5] == component[3] == 3 and component[None] is None
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and {r.fp for r in kept.collect()} == {"old fp"}
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, None, 6, 7, 8], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, None, 6, 7, 8], key=str)  # the row without an id is alone
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
-def test_simhash_hot_buckets(spark):
-    """Groups beyond the bucket bound are dealt out again and lose no link."""
+def forest(fps, pairs):
+    """The component of each fingerprint by its place."""
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(f) for f in fps]
+
+
+def test_simhash_dense_groups(spark, monkeypatch):
+    """Crowded fingerprints over many small ranges lose no link between two of them."""
     import random
 
     from lodestar.llm import simhash
 
+    monkeypatch.setattr(simhash, "LEAST_FPS", 64)
+    monkeypatch.setattr(simhash, "RANGE_FPS", 100)
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(3)]
-    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(300)})
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(300)} | {rng.getrandbits(64) for _ in range(500)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {frozenset((r.u, r.v)) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), hot=20).collect()}
-    root = {f: f for f in signed}
+    got = {(r.u, r.v) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    want = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
+    assert forest(signed, got) == forest(signed, want)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    def groups(pairs):
-        for f in signed:
-            root[f] = f
-        for a, b in pairs:
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        return [find(f) for f in signed]
+def test_simhash_index_prunes():
+    """On the distinct fingerprints of a fixture the index leaves nearly all groups, and still finds all links."""
+    import duckdb
+    import numpy as np
 
-    want = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3]
-    assert groups(tuple(p) for p in got) == groups(want)
+    from lodestar.llm import simhash
+
+    texts = duckdb.sql("select distinct text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    fps = np.array(sorted({simhash.fingerprint((t or "").encode()) for (t,) in texts}), dtype=np.uint64)
+    pairs, met = set(), 0
+    for by in simhash.ORDERS:
+        f = simhash.turned(fps, by)
+        rank = f.copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(s)
+        f = f[np.argsort(rank)]
+        seen = {}
+        for who, at in simhash.search(f, simhash.levels_of(f, f), f, after=np.arange(len(f)), seen=seen):
+            a, b = simhash.turned(f[who], by), simhash.turned(f[at], by)
+            pairs |= {(int(max(x, y)), int(min(x, y))) for x, y in zip(a, b)}
+        assert seen["left"] > len(f)
+        met += seen["met"]
+    assert met < len(fps) ** 2 / 2 * 0.4  # of all pairs, in both orders together
+    assert pairs == {(int(a), int(b)) for i, a in enumerate(fps) for b in fps[:i][np.bitwise_count(fps[:i] ^ a) <= 3]}
+
+
+def test_keep_one_by_rows(spark):
+    """Rows that share an id are decided each by its own text; every component keeps exactly one row."""
+    from lodestar.llm import simhash
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(400)) for x in "abc")
+    near = b + " and three more"
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, near), (None, c), (None, "alone"), (None, "alone"), (5, "one"), (5, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    marks = brute.components([(n, t) for n, (_, t) in enumerate(rows)])
+    for n, (i, t) in enumerate(rows):
+        groups.setdefault(marks[n][1], []).append(((i is None, i or 0, brute.fingerprint(t) - (brute.fingerprint(t) >> 63 << 64)), (i, t)))
+    want = sorted((min(g)[1] for g in groups.values()), key=str)
+    assert len(want) == 5 and (7, b) in want and (9, c) in want
+    assert sorted((tuple(r) for r in simhash.keep_one(df).collect()), key=str) == want
 
 
 def test_quality(spark, docs, none):
