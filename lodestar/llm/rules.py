@@ -6,8 +6,11 @@ beyond, so a quantile is at most 1/64 too high. Counts of bins add up, so sketch
 merge into those of a (language, source), these into a language's and into the one of all.
 A group of fewer than ``min_docs`` texts takes its language's thresholds, or else those of all.
 
-A text is rejected beyond ``q75 + spread * (q75 - q25)`` of a rate, or of its words' mean
-length beyond that or its mirror image below; ``slack`` is the least margin over the quartile.
+Limits come from the group's sketch alone. With ``t`` the quantile of a measure's tail (a share of
+texts that are taken to be ordinary) and ``m`` the median, a text is rejected beyond
+``t + spread * (t - m)``, and for the words' mean length also below the mirror image of that at
+the other tail. There is no constant floor: where nearly all texts of a group have none of
+something, its limit is zero, and where they have much, the limit follows.
 
 Defined results: null and empty texts have no words and fail the base rule; a null language
 or source is as an empty one; repeated rows stay repeated; an empty table gives no row. Extra
@@ -25,9 +28,10 @@ from ..session import written
 from .common import byte_list, map_text
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-MIN_DOCS, SPREAD = 50, 4
-#: Adaptive measures: (name, least margin over the upper quartile, whether there is a lower bound too).
-MEASURES = [("symbols", 300, False), ("dup_lines", 6000, False), ("repeats", 3000, False), ("word_length", 150, True)]
+#: Texts of a group that has limits of its own (the tail at 99 % needs about a hundred), and the spread.
+MIN_DOCS, SPREAD = 100, 4
+#: Adaptive measures: (name, quantile of the tail in percent, whether there is a lower bound too).
+MEASURES = [("symbols", 85, False), ("dup_lines", 99, False), ("repeats", 99, False), ("word_length", 90, True)]
 #: Groups (a row of some 100 bytes each) that are sent to every executor; more are joined by a shuffle.
 BROADCAST_GROUPS = 100_000
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -103,29 +107,31 @@ def base_failed() -> F.Column:
     return F.expr(f"m_words < {MIN_WORDS} or 100 * m_repeat_words > {MAX_REPEAT} * m_words")
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """(by..., measure, total, q25, q75) of merged sketches; a group has a bounded number of bins."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """(by..., measure, total, low, mid, tail) of merged sketches; a group has a bounded number of bins."""
     merged = sketch.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     sums = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
+    tail = F.element_at(F.array(*[F.lit(t) for _, t, _ in MEASURES]), F.col("measure") + 1)
     q = lambda k: F.min(F.when(F.col("upto") * 100 >= F.col("total") * k, top_of(F.col("bin"))))
-    return sums.groupBy(*by, "measure").agg(F.max("total").alias("total"), q(25).alias("q25"), q(75).alias("q75"))
+    return sums.groupBy(*by, "measure").agg(F.max("total").alias("total"), q(100 - tail).alias("low"), q(F.lit(50)).alias("mid"), q(tail).alias("tail"))
 
 
 def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS, spread: int = SPREAD) -> DataFrame:
     """(lang, source, low_*, high_*): one row for each language and source of the sketches."""
-    own = quartiles(sketch, "lang", "source")
-    tongue = quartiles(sketch, "lang").select("lang", "measure", *(F.col(c).alias(f"l_{c}") for c in ("total", "q25", "q75")))
-    every = quartiles(sketch.withColumn("all", F.lit(0)), "all").select("measure", *(F.col(c).alias(f"a_{c}") for c in ("q25", "q75")))
+    marks = ("low", "mid", "tail")
+    own = quantiles(sketch, "lang", "source")
+    tongue = quantiles(sketch, "lang").select("lang", "measure", *(F.col(c).alias(f"l_{c}") for c in ("total", *marks)))
+    every = quantiles(sketch.withColumn("all", F.lit(0)), "all").select("measure", *(F.col(c).alias(f"a_{c}") for c in marks))
     rows = own.join(tongue, ["lang", "measure"]).join(F.broadcast(every), "measure")  # a row for each measure
-    pick = lambda c: F.when(F.col("total") >= min_docs, F.col(c)).when(F.col("l_total") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    rows = rows.select("lang", "source", "measure", pick("q25").alias("q25"), pick("q75").alias("q75"))
+    pick = lambda c: F.when(F.col("total") >= min_docs, F.col(c)).when(F.col("l_total") >= min_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
+    rows = rows.select("lang", "source", "measure", *(pick(c) for c in marks))
     aggs = []
-    for i, (m, slack, low) in enumerate(MEASURES):
-        margin = F.greatest(spread * (F.col("q75") - F.col("q25")), F.lit(slack))
-        aggs.append(F.max(F.when(F.col("measure") == i, F.col("q75") + margin)).alias(f"high_{m}"))
+    for i, (m, _, low) in enumerate(MEASURES):
+        of = lambda c: F.max(F.when(F.col("measure") == i, c))
+        aggs.append(of(F.col("tail") + spread * (F.col("tail") - F.col("mid"))).alias(f"high_{m}"))
         if low:
-            aggs.append(F.max(F.when(F.col("measure") == i, F.col("q25") - margin)).alias(f"low_{m}"))
+            aggs.append(of(F.col("low") - spread * (F.col("mid") - F.col("low"))).alias(f"low_{m}"))
     return rows.groupBy("lang", "source").agg(*aggs)
 
 
@@ -158,12 +164,15 @@ def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 def sql(min_docs: int = MIN_DOCS, spread: int = SPREAD) -> str:
     sizes = {"symbols": "(n_symbols * 10000) // greatest(word_chars, 1)", "dup_lines": "(n_dup_lines * 10000) // greatest(n_lines, 1)", "repeats": "(n_repeat_words * 10000) // greatest(n_words, 1)", "word_length": "(word_chars * 100) // greatest(n_words, 1)"}
     bins = " union all ".join(f"select lang, source, {i} as measure, {sizes[m]} as v from base where not base_failed" for i, (m, _, _) in enumerate(MEASURES))
-    highs = ", ".join(f"max(case when measure = {i} then q75 + greatest({spread} * (q75 - q25), {slack}) end) as high_{i}, max(case when measure = {i} then q25 - greatest({spread} * (q75 - q25), {slack}) end) as low_{i}" for i, (_, slack, _) in enumerate(MEASURES))
+    highs = ", ".join(f"max(case when measure = {i} then tail + {spread} * (tail - mid) end) as high_{i}, max(case when measure = {i} then low - {spread} * (mid - low) end) as low_{i}" for i in range(len(MEASURES)))
+    at = "case measure " + " ".join(f"when {i} then {t}" for i, (_, t, _) in enumerate(MEASURES)) + " end"
+    marks = ("low", "mid", "tail")
+    picks = ", ".join(f"case when o.total >= {min_docs} then o.{c} when t.total >= {min_docs} then t.{c} else e.{c} end as {c}" for c in marks)
     tests = " and ".join(f"coalesce({sizes[m]} <= high_{i}, true)" + f" and coalesce({sizes[m]} >= low_{i}, true)" * low for i, (m, _, low) in enumerate(MEASURES))
 
     def quart(by: str) -> str:
         keys = f"{by}, measure" if by else "measure"
-        return f"""select {keys}, max(total) as total, min(case when upto * 100 >= total * 25 then top end) as q25, min(case when upto * 100 >= total * 75 then top end) as q75
+        return f"""select {keys}, max(total) as total, min(case when upto * 100 >= total * (100 - {at}) then top end) as low, min(case when upto * 100 >= total * 50 then top end) as mid, min(case when upto * 100 >= total * {at} then top end) as tail
             from (select {keys}, case when bin < 128 then bin else ((((bin - 128) % 64) + 65) << ((bin - 128) // 64 + 1)) - 1 end as top, sum(n) over (partition by {keys} order by bin) as upto, sum(n) over (partition by {keys}) as total
                   from (select {keys}, bin, count(*) as n from binned group by {keys}, bin)) group by {keys}"""
 
@@ -181,9 +190,7 @@ def sql(min_docs: int = MIN_DOCS, spread: int = SPREAD) -> str:
     values_ as ({bins}),
     binned as (select lang, source, measure, case when v < 128 then v else 128 + (length(bin(v)) - 8) * 64 + (v >> (length(bin(v)) - 7)::int) - 64 end as bin from values_),
     own as ({quart("lang, source")}), tongue as ({quart("lang")}), every_ as ({quart("")}),
-    picked as (select o.lang, o.source, o.measure,
-        case when o.total >= {min_docs} then o.q25 when t.total >= {min_docs} then t.q25 else e.q25 end as q25,
-        case when o.total >= {min_docs} then o.q75 when t.total >= {min_docs} then t.q75 else e.q75 end as q75
+    picked as (select o.lang, o.source, o.measure, {picks}
         from own o join tongue t on o.lang = t.lang and o.measure = t.measure join every_ e on o.measure = e.measure),
     limits as (select lang, source, {highs} from picked group by lang, source)
     select doc_id, n_words::bigint as n_words, word_chars, n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,

@@ -222,6 +222,35 @@ def test_rules(spark, docs, none):
     assert rules.apply(none).count() == 0 and rules.keep(none).count() == 0
 
 
+def test_rules_follow_each_group(spark):
+    """Limits come from a group's own texts: when one group's texts change, its limits move and no others."""
+    import random
+
+    from lodestar.llm import rules
+
+    rng = random.Random(9)
+
+    def text(symbols, size):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(80)]
+        for k in range(symbols):
+            words[k] += "#"
+        return " ".join(words)
+
+    def limits(symbols, size):
+        rows = [(i, text(rng.randint(0, symbols) if g == "code" else 0, size if g == "code" else 5), "en", g) for g in ("web", "code", "small") for i in range(40 if g == "small" else 200)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        return {r.source: r.asDict() for r in rules.thresholds(rules.sketches(rules.measured(df))).collect()}
+
+    plain, busy = limits(0, 5), limits(40, 9)
+    assert plain["web"] == busy["web"] and plain["web"]["high_symbols"] == plain["code"]["high_symbols"] == 0
+    assert busy["code"]["high_symbols"] > 300 and busy["code"]["high_word_length"] > plain["code"]["high_word_length"]
+    assert busy["small"]["high_symbols"] > 0  # too few texts of its own: the language's limit, which moved
+    # texts that are ordinary in one group are rejected in the other
+    rows = [(i, text(20, 9), "en", g) for g in ("web", "code") for i in range(3)] + [(10 + i, text(0, 5), "en", "web") for i in range(200)] + [(10 + i, text(rng.randint(0, 40), 9), "en", "code") for i in range(200)]
+    got = rules.apply(spark.createDataFrame([(n, t, a, b) for n, (_, t, a, b) in enumerate(rows)], "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept and r.doc_id < 6} == {0, 1, 2}
+
+
 def test_secrets(spark, docs, none):
     from lodestar.llm import secrets
 
