@@ -2,11 +2,17 @@
 
 The page is cut into blocks at block-level tags. Scripts, styles, comments of the markup,
 and whatever lies in menus, page headers, footers, sidebars, notices, adverts, forms and
-reader comments (by tag, role, class or id) never become blocks. The first pass decides a
-block by its length, the share of stop words and the share of text inside links; the second
-gives each undecided short block the label of its nearest decided neighbours (both sides
-alike: that label; else the nearer one). Where a page marks its article, only blocks in
-it can be main text, and they are so unless they are made of links.
+reader comments (by tag, role, class or id) never become blocks. Where a page marks its article,
+only blocks in it go on.
+
+First pass (:func:`decide`): a block made of links is bad, and so is one that states a copyright.
+A long block is good if enough of its words are stop words. All others are undecided: short ones,
+and long ones almost without stop words (tables, lists of names).
+
+Second pass (:func:`settle`): each undecided block takes the label of its nearest decided
+neighbours: that of both if they agree; else the nearer one's; at equal distances headings and
+blocks with stop words are good. If no block of a page is good, undecided blocks are kept: nothing
+speaks against them (so a page of short blocks only keeps these).
 
 Defined results: null, empty and text-free pages give an empty text; unclosed tags end with
 the page; nothing is cut off; repeated rows stay repeated. Extra columns are ignored.
@@ -40,7 +46,10 @@ STOP = frozenset(
     "aber als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich ihr im in ist mit nach nicht noch nur oder sein sich sie sind so über um und uns von vor war wie wird zu zum zur "
     "al como con cuando del desde donde el ella ellos era es esta este esto fue ha hasta hay las lo los más me mi muy no nos o para pero por porque quien se sin sobre su sus también te todo tu una y ya yo".split()
 )
-LONG, SHORT, MAX_LINKS, MIN_STOP = 70, 25, 0.5, 0.08
+#: Characters of a long block; the share in links that makes a block bad; the share of stop words that makes a long one good.
+LONG, MAX_LINKS, MIN_STOP = 70, 0.5, 0.08
+LETTERS = re.compile(r"[^\W\d_]+")
+LEGAL = re.compile("©|\\(c\\)|\\bcopyright\\b|\\ball rights reserved\\b|\\balle rechte vorbehalten\\b|\\btous droits réservés\\b|\\btodos los derechos reservados\\b", re.I)
 #: Blocks that stay open to the end of an enclosing one may be closed by these.
 CLOSES = {"li": {"li"}, "p": BLOCK - {"button", "label", "option", "legend"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -155,44 +164,50 @@ def blocks(html: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
     return made, marked
 
 
-def extract(html: str) -> str:
-    """The main text: blocks of one line each, joined by two newlines."""
-    found, marked = blocks(html)
-    labels: list[bool | None] = []  # good, bad or undecided
-    for clean, links, article, heading in found:
-        words = clean.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()") in STOP for w in words) / len(words)
-        if marked and not article:
-            labels.append(False)
-        elif links > MAX_LINKS and not (article and heading):
-            labels.append(False)
-        elif article:
-            labels.append(True if len(clean) >= SHORT else None)
-        elif len(clean) >= LONG:
-            labels.append(True if stops >= MIN_STOP or len(clean) >= 4 * LONG else None)
-        else:
-            labels.append(None)
+def decide(clean: str, links: float, article: bool, heading: bool) -> bool | None:
+    """First pass: good, bad or undecided."""
+    if links > MAX_LINKS and not (article and heading):
+        return False
+    words = LETTERS.findall(clean.lower())
+    stops = sum(w in STOP for w in words) / max(1, len(words))
+    if not article and len(clean) < 4 * LONG and LEGAL.search(clean):
+        return False
+    return True if len(clean) >= LONG and stops >= MIN_STOP else None
+
+
+def settle(labels: list[bool | None], found: list[tuple[str, float, bool, bool]]) -> list[bool]:
+    """Second pass: undecided blocks take the label of their nearest decided neighbours."""
     n = len(labels)
+    if True not in labels:
+        return [x is None for x in labels]
     before, after = [-1] * n, [n] * n
     for i in range(1, n):
         before[i] = i - 1 if labels[i - 1] is not None else before[i - 1]
     for i in range(n - 2, -1, -1):
         after[i] = i + 1 if labels[i + 1] is not None else after[i + 1]
-    kept = []
-    for i, (clean, _, article, _) in enumerate(found):
-        good = labels[i]
-        if good is None:
+    out = []
+    for i, own in enumerate(labels):
+        if own is None:
             p, q = before[i], after[i]
-            a, b = (labels[p] if p >= 0 else None), (labels[q] if q < n else None)
-            if article and marked:
-                good = True if a is None or b is None else a or b
-            elif a is None or b is None:
-                good = bool(a if b is None else b)
+            a = labels[p if p >= 0 else q]
+            b = labels[q if q < n else p]
+            if a == b:
+                own = a
+            elif i - p != q - i:
+                own = a if i - p < q - i else b
             else:
-                good = a if a == b or i - p < q - i else b
-        if good:
-            kept.append(clean)
-    return "\n\n".join(kept)
+                own = found[i][3] or any(w in STOP for w in LETTERS.findall(found[i][0].lower()))
+        out.append(own)
+    return out
+
+
+def extract(html: str) -> str:
+    """The main text: blocks of one line each, joined by two newlines."""
+    found, marked = blocks(html)
+    if marked:
+        found = [x for x in found if x[2]]
+    good = settle([decide(*x) for x in found], found)
+    return "\n\n".join(x[0] for x, keep in zip(found, good) if keep)
 
 
 def main_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -112,6 +112,56 @@ def test_op9(run, docs):
     assert got == {i: len(ids) - 1 for i, ids in brute.tokens(docs, "byte_bpe_50k.json", 0)}
 
 
+def article_blocks(page):
+    """The blocks of a fixture page's article, cut out of its own mark."""
+    import re
+    from html import unescape
+
+    article = re.search("<article>(.*?)(</article>|$)", page, re.S)[1]
+    parts = [" ".join(unescape(re.sub("</?(b|br)>", lambda m: " " * (m[1] == "br"), p)).split()) for p in re.split("</?(?:h1|p)>", article)]
+    return [p for p in parts if p]
+
+
+def shares(pages, f):
+    """Block recall and precision of extract on pages changed by ``f``, and how many pages equal their article."""
+    from collections import Counter
+
+    from lodestar.llm import html
+
+    hit = want_n = got_n = equal = 0
+    for page in pages:
+        want, got = article_blocks(page), [x for x in html.extract(f(page)).split("\n\n") if x]
+        hit += sum((Counter(want) & Counter(got)).values())
+        want_n, got_n, equal = want_n + len(want), got_n + len(got), equal + (want == got)
+    return hit / want_n, hit / max(1, got_n), equal
+
+
+def test_op10_rules_alone(monkeypatch):
+    """Pages without article, class, id, role or structural tags: the two passes decide, and each of their rules matters."""
+    import re
+
+    from lodestar.llm import html
+
+    pages = [x[0] for x in duckdb.sql("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+
+    def plain(page):
+        page = re.sub(r"</?(nav|article|footer|header|aside|main)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", page)
+        return re.sub(r"\s(?:class|id|role)=\"[^\"]*\"", "", page)
+
+    recall, precision, equal = shares(pages, plain)
+    print("recall", recall, "precision", precision, "equal", equal, "of", len(pages))
+    assert recall >= 0.94 and precision >= 0.96 and equal >= len(pages) // 2
+    with monkeypatch.context() as m:
+        m.setattr(html, "STOP", frozenset())
+        assert shares(pages, plain)[2] < equal / 4
+    with monkeypatch.context() as m:
+        m.setattr(html, "MAX_LINKS", 2)
+        assert shares(pages, plain)[1] < precision - 0.1
+    with monkeypatch.context() as m:
+        m.setattr(html, "LONG", 10**9)
+        assert shares(pages, plain)[2] < equal / 2
+
+
 def test_op10(run):
     import re
     from html import unescape
