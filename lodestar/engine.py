@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import energy, graph_index, knn, routing, store, text
-from .session import written
 
 
 @dataclass(frozen=True)
@@ -39,12 +38,17 @@ class Engine:
 
     def __init__(self, vectors: DataFrame, docs: DataFrame | None = None, preset: str | Preset = "default"):
         self.preset = PRESETS[preset] if isinstance(preset, str) else preset
-        self.vectors, self.docs, self.index = vectors, docs, None
+        self.vectors, self.docs, self.index, self.words = vectors, docs, None, None
         self.cache = routing.ResultCache(max(1, self.preset.cache), self.preset.cache_seconds)
 
     def build_index(self) -> Engine:
         """Write the graph index of all vectors."""
-        self.index = written(graph_index.build(self.vectors, self.preset.links), "graph")
+        self.index = graph_index.packed(graph_index.build(self.vectors, self.preset.links))
+        return self
+
+    def build_text_index(self) -> Engine:
+        """Write the word index of all documents; searches read it until documents change."""
+        self.words = text.build_index(self.docs)
         return self
 
     def search(self, query: list[float], k: int, where: Column | None = None) -> DataFrame:
@@ -62,8 +66,8 @@ class Engine:
         return knn.knn_batch(self.vectors, queries, k, self.preset.metric)
 
     def search_text(self, query: str, k: int) -> DataFrame:
-        """(doc_id, score) by BM25."""
-        return text.bm25(self.docs, query, k)
+        """(doc_id, score) by BM25, from the word index if it was built."""
+        return text.search_index(self.words, query, k) if self.words else text.bm25(self.docs, query, k)
 
     def search_hybrid(self, query: list[float], words: str, k: int) -> DataFrame:
         """(doc_id, score) by weighted rank fusion of both sides' 2 k best."""
@@ -86,7 +90,7 @@ class Engine:
         """Remove rows; documents of the same ids go too."""
         self.vectors = store.hard_delete(self.vectors, ids, key)
         if self.docs is not None:
-            self.docs = self.docs.join(ids.select(F.col(key).alias("doc_id")), "doc_id", "left_anti")
+            self.docs, self.words = self.docs.join(ids.select(F.col(key).alias("doc_id")), "doc_id", "left_anti"), None
         return self
 
     def stats(self) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
@@ -73,3 +73,20 @@ def features(text: Column) -> Column:
     grams = V.let(F.split(low, ""), lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: F.concat_ws("", F.get(c, i), F.get(c, i + 1), F.get(c, i + 2))))
     pairs = V.let(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.lit("wb:"), F.get(w, i), F.get(w, i + 1))))
     return F.concat(F.when(F.length(low) >= 3, grams).otherwise(F.array(low)), F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+
+#: Encoders by name: functions of a table that return (key, embedding).
+REGISTRY: dict = {}
+
+
+def register(name: str, encode) -> None:
+    """Make ``encode(table) -> (key, embedding)`` known under a name; a later one of the same name replaces it."""
+    REGISTRY[name] = encode
+
+
+def encode(name: str, table: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
+    """What the named encoder gives, with vectors cut or filled with zeros to ``dim`` components and of length 1; null vectors stay null."""
+    if name not in REGISTRY:
+        raise KeyError(f"no encoder {name!r}; there are {sorted(REGISTRY)}")
+    fitted = F.slice(F.concat(V.vec(vec), F.array_repeat(F.lit(0.0), dim)), 1, dim)
+    return REGISTRY[name](table).withColumn(vec, V.normalise(fitted))

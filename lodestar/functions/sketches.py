@@ -24,14 +24,20 @@ def projections(m: int, dim: int, seed: int = 43) -> np.ndarray:
 
 
 def mapped(vectors: DataFrame, f, schema: str, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, ...) with f(matrix) -> list of Arrow arrays behind the keys, a batch at a time."""
+    """(key, ...) with f(matrix) -> list of Arrow arrays behind the keys, a batch at a time.
+
+    Vectors that are null, of another dimension than most or with a component that is not finite have no code and no row.
+    """
+    from ..operators import knn
+
     names = [c.split()[0] for c in schema.split(", ")]
+    dim = knn.dimension(vectors, vec)
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-                yield pa.record_batch([b.column(0), *f(x)], names=["key", *names])
+            x, which = knn.matrix(b.column(1), dim)
+            if len(x):
+                yield pa.record_batch([b.column(0).filter(pa.array(which)), *f(x)], names=["key", *names])
 
     return vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<float>")).mapInArrow(run, f"key long, {schema}").withColumnRenamed("key", key)
 

@@ -2,6 +2,9 @@
 
 Only centers and bounded samples go to the driver. A sample is the first rows in the order of
 a hash of the key, of a documented size; every row is assigned, whatever the sample was.
+
+Vectors that are null, have another dimension than most rows or a component that is null or not
+finite take no part in the fitting; their rows get a null cluster.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ SAMPLE_PER_CENTER = 500
 
 
 def _sample(vectors: DataFrame, n: int, vec: str, key: str) -> np.ndarray:
-    rows = vectors.select(key, F.col(vec).cast("array<float>").alias("v"), F.xxhash64(key).alias("h")).orderBy("h", key).limit(n).collect()
+    rows = vectors.where(knn.usable(vec, knn.dimension(vectors, vec))).select(key, F.col(vec).cast("array<float>").alias("v"), F.xxhash64(key).alias("h")).orderBy("h", key).limit(n).collect()
     return np.array([r.v for r in rows], dtype=np.float64)
 
 
@@ -140,12 +143,14 @@ def two_level(vectors: DataFrame, coarse: int, fine: int, vec: str = "embedding"
         top, below = held.value
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+                x, which = knn.matrix(b.column(1), top.shape[1])
                 c = ((x[:, None] - top[None]) ** 2).sum(-1).argmin(1)
                 f = np.zeros(len(x), dtype=np.int32)
                 for k in np.unique(c):
                     f[c == k] = ((x[c == k][:, None] - below[k][None]) ** 2).sum(-1).argmin(1)
-                yield pa.record_batch([b.column(0), pa.array(c.astype(np.int32)), pa.array(f)], names=["key", "coarse_id", "fine_id"])
+                all_c, all_f = np.zeros(b.num_rows, dtype=np.int32), np.zeros(b.num_rows, dtype=np.int32)
+                all_c[which], all_f[which] = c, f
+                yield pa.record_batch([b.column(0), pa.array(all_c, mask=~which), pa.array(all_f, mask=~which)], names=["key", "coarse_id", "fine_id"])
 
     out = vectors.select(F.col(key).cast("long"), F.col(vec).cast("array<float>")).mapInArrow(run, "key long, coarse_id int, fine_id int")
     return out.withColumnRenamed("key", key)
@@ -178,11 +183,12 @@ def merged_levels(parts: DataFrame, merge, most: int) -> DataFrame:
 
 def fitted(vectors: DataFrame, k: int, seed: int = 42, vec: str = "embedding", most: int | None = None) -> np.ndarray:
     """k centers from all rows: each Arrow batch gives weighted centers; their mergers, at most ``most`` at once, give the final ones."""
+    dim = knn.dimension(vectors, vec)
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+            x, _ = knn.matrix(b.column(0), dim)
+            if len(x):
                 centers = fit(x, k, steps=20)
                 n = np.bincount(((x[:, None] - centers[None]) ** 2).sum(-1).argmin(1), minlength=len(centers))
                 yield pa.record_batch([pa.array(centers.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["center", "n"])
@@ -224,10 +230,12 @@ def leaders(vectors: DataFrame, threshold: float, vec: str = "embedding", key: s
                 n.append(k)
         return np.array(centers), np.array(n)
 
+    dim = knn.dimension(vectors, vec)
+
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = b.column(0).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+            x, _ = knn.matrix(b.column(0), dim)
+            if len(x):
                 centers, n = follow(x, np.ones(len(x)))
                 yield pa.record_batch([pa.array(centers.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["center", "n"])
 

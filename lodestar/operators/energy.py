@@ -114,21 +114,19 @@ def gradient(vectors: DataFrame, mix: DataFrame, vec: str = "embedding", key: st
     return rows.select(key, V.scale(F.aggregate("parts_", zero, step), 1.0 / total).alias("gradient"))
 
 
-def avalanche(mix: DataFrame, share: float = 0.3, near: int = 10, most: int = 1000) -> DataFrame:
+def avalanche(mix: DataFrame, share: float = 0.3, near: int = 10) -> DataFrame:
     """(cluster, energy, step): from the splat of most energy, ``share`` of it goes to its nearest ones; those lifted over the mean follow.
 
-    The splats are a bounded model, so the cascade runs on the driver.
+    The splats are a bounded model (more than it allows are an error), so the cascade runs on the driver; each is met once.
     """
     import numpy as np
 
-    from . import knn
-
-    rows = sorted(mix.select("cluster", "mu", "alpha").limit(knn.MAX_CENTERS).collect())
+    rows = sorted(_held(mix), key=lambda r: r.cluster)
     if not rows:
         return mix.sparkSession.createDataFrame([], "cluster int, energy double, step int")
     mu, e = np.array([r.mu for r in rows]), np.array([r.alpha for r in rows], dtype=float)
     limit, front, step = e.mean() * 1.5, [int(e.argmax())], {}
-    while front and len(step) < most:
+    while front:
         i = front.pop(0)
         if i in step:
             continue
@@ -161,3 +159,8 @@ def regions(vectors: DataFrame, mix: DataFrame, n: int, radius: float = 0.5, spr
         else:
             found.append([p, float(r.energy), 1])
     return vectors.sparkSession.createDataFrame([(i, f[0].tolist(), f[1], f[2]) for i, f in enumerate(found[:n])], "region long, center array<double>, energy double, n_points long")
+
+
+def splat_state(mix: DataFrame) -> DataFrame:
+    """(cluster, energy, size): the state that new splats start from, one cluster for each, its energy the splat's weight."""
+    return mix.select("cluster", F.col("alpha").cast("double").alias("energy"), F.lit(1).alias("size"))

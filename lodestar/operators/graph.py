@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import dropped, written
 
 
+#: Folders of a written edge table.
+FOLDERS = 16
+
+
 def deduplicated(entities: DataFrame, name: str = "name", key: str = "node_id") -> DataFrame:
     """One row for each lower-cased name: the smallest key."""
-    w = Window.partitionBy(F.lower(name)).orderBy(key)
-    return entities.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
+    first = entities.groupBy(F.lower(name).alias("name_")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in entities.columns]), key).alias("row_"))
+    return first.select("row_.*")  # merged map-side, so a name of very many rows does not meet in one task
 
 
 def dangling(edges: DataFrame, nodes: DataFrame, key: str = "node_id") -> DataFrame:
@@ -33,11 +37,18 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth) of what directed edges reach from ``starts.node``; a join for each level, frontiers are written tables."""
+    """(node, depth) of what directed edges reach from ``starts.node``; a join for each level, frontiers are written tables.
+
+    Edges are written once, dealt into folders by a hash of their source; a level reads the folders of its frontier.
+    """
+    folder = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(FOLDERS)).cast("int")
+    edges = edges.select("src", "dst").withColumn("folder", folder("src"))
+    edges = written(edges.repartition(FOLDERS, "folder", F.pmod(F.xxhash64("dst"), F.lit(4))), "edges", ("folder",))
     seen = written(starts.select("node").distinct().withColumn("depth", F.lit(0)), "bfs")
     front = seen
     for depth in range(1, max_depth + 1):
-        step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
+        read = [r.f for r in front.select(folder("node").alias("f")).distinct().collect()]  # FOLDERS at most
+        step = front.join(edges.where(F.col("folder").isin(read)).select(F.col("src").alias("node"), "dst"), "node").select(F.col("dst").alias("node")).distinct()
         new = written(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "bfs")
         if new.isEmpty():
             dropped(new)

@@ -4,11 +4,16 @@
 added in a seeded random order, so early ones keep long links. Links are pruned over old and new
 alike. A search walks each part's graph and the parts' results are merged, so parts can be added
 (a new batch is a new part) and removed keys are left out by an anti-join on the results.
+
+:func:`packed` keeps each graph as one row of flat arrays; a search of that table walks every row
+where it is read, without a shuffle. Vectors that are null, of another dimension than most or with
+a component that is not finite are in no graph.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +64,7 @@ def linked(x: np.ndarray, m: int, ef: int) -> list[list[int]]:
 
 def build(vectors: DataFrame, m: int = 16, ef: int = 48, vec: str = "embedding", key: str = "vec_id", max_part: int = MAX_PART) -> DataFrame:
     """The graph table of every row of ``vectors``."""
+    vectors = vectors.where(knn.usable(vec, knn.dimension(vectors, vec)))
     parts = max(1, -(-vectors.count() // max_part))
 
     def run(table: pa.Table) -> pa.Table:
@@ -80,9 +86,63 @@ def broken(index: DataFrame) -> DataFrame:
     return ends.join(index.select("part", F.col("pos").alias("near")), ["part", "near"], "left_anti")
 
 
+def packed(index: DataFrame, key: str = "vec_id") -> DataFrame:
+    """A written table with one row for each graph: (part, n, keys, v, ends, near) as flat arrays in bytes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("pos").to_numpy())
+        near = table.column("near").to_pylist()
+        near = [near[i] for i in order]
+        keys = table.column("key").to_numpy()[order].astype("<i8")
+        x = table.column("v").combine_chunks().flatten().to_numpy().astype("<f4").reshape(len(keys), -1)[order]
+        data = [keys, x, np.cumsum([len(e) for e in near]).astype("<i4"), np.array([j for e in near for j in e], dtype="<i4")]
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int32()), **{c: pa.array([d.tobytes()], pa.binary()) for c, d in zip(("keys", "v", "ends", "near"), data)}})
+
+    rows = index.withColumnRenamed(key, "key").select("part", "key", "pos", "v", "near").groupBy("part")
+    return written(rows.applyInArrow(run, "part int, n int, keys binary, v binary, ends binary, near binary"), "packed-graph")
+
+
+def _search_packed(index: DataFrame, blocks: list, k: int, ef: int) -> DataFrame:
+    """(qid, key, distance): each graph's best, one row of the packed table at a time."""
+
+    def run(batches, held):
+        for b in batches:
+            for row in range(b.num_rows):
+                n, keys, v, ends, flat = (b.column(c)[row].as_py() for c in ("n", "keys", "v", "ends", "near"))
+                keys, x = np.frombuffer(keys, "<i8"), np.frombuffer(v, "<f4").reshape(n, -1).astype(np.float64)
+                near = [e.tolist() for e in np.split(np.frombuffer(flat, "<i4"), np.frombuffer(ends, "<i4")[:-1])]
+                for name, q in zip(*held.value):
+                    found = walk(x, near, q, max(ef, k))[:k]
+                    yield pa.record_batch([pa.array([int(name)] * len(found), pa.int64()), pa.array([int(keys[j]) for _, j in found], pa.int64()), pa.array([float(np.sqrt(d)) for d, _ in found], pa.float64())], names=["qid", "key", "distance"])
+
+    rows = index.select("n", "keys", "v", "ends", "near")
+    return knn.united(rows.mapInArrow(partial(run, held=held), "qid long, key long, distance double") for held in blocks)
+
+
+def search_live(index: DataFrame, removed: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, over: int = 3, ef: int = 64, vec: str = "embedding", key: str = "vec_id", qid: str = "qid") -> DataFrame:
+    """(qid, key, distance, rank) without ``removed`` keys: the index stays as it is, a walk takes ``over`` times k and the removed ones go.
+
+    Queries that then have fewer than k are answered exactly from the rows of ``vectors`` that are left.
+    """
+    gone = removed.select(F.col(key)).distinct()
+    wide = search(index, queries, over * k, max(ef, over * k), vec, key, qid)
+    w = Window.partitionBy(qid).orderBy("distance", key)
+    best = written(wide.drop("rank").join(gone, key, "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(qid, key, "distance", "rank"), "live")
+    full = best.where(F.col("rank") == k).select(qid)
+    short = written(queries.join(full, qid, "left_anti"), "live-short")
+    if short.isEmpty():
+        return best
+    exact = knn.knn_batch(vectors.join(gone, key, "left_anti"), short, k, vec=vec, key=key, qid=qid)
+    return best.join(full, qid, "left_semi").select(qid, key, "distance", "rank").unionByName(exact)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 64, vec: str = "embedding", key: str = "vec_id", qid: str = "qid", block: int = knn.QUERY_BLOCK) -> DataFrame:
-    """(qid, key, distance, rank): each part's best, merged. Queries go in blocks; with several the index is written first, so that it is built once."""
+    """(qid, key, distance, rank): each part's best, merged, of a graph table or a packed one. Queries go in blocks; with several a graph table is written first, so that it is built once."""
     blocks = knn.query_blocks(queries, vec, qid, block)
+    w = Window.partitionBy("qid").orderBy("distance", "key")
+    if "keys" in index.columns:
+        found = _search_packed(index, blocks, k, ef).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return found.select(F.col("qid").alias(qid), F.col("key").alias(key), "distance", "rank")
     if len(blocks) > 1:
         index = written(index, "graph")
 
@@ -100,6 +160,5 @@ def search(index: DataFrame, queries: DataFrame, k: int, ef: int = 64, vec: str
 
     rows = index.withColumnRenamed(key, "key").select("part", "key", "pos", "v", "near").groupBy("part")
     found = knn.united(rows.applyInArrow(walked(held), "qid long, key long, distance double") for held in blocks)
-    w = Window.partitionBy("qid").orderBy("distance", "key")
     out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("qid").alias(qid), F.col("key").alias(key), "distance", "rank")

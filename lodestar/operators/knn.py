@@ -1,4 +1,9 @@
-"""Nearest neighbours: exact, filtered, cluster-pruned and graph-indexed."""
+"""Nearest neighbours: exact, filtered, cluster-pruned and graph-indexed.
+
+Rows whose vector is null, has another dimension than the queries or a component that is null or not
+finite have no distance: they are no neighbour of anything and are left out. A query set with such
+a vector raises ValueError, as a single query does.
+"""
 
 from __future__ import annotations
 
@@ -31,12 +36,24 @@ def literal(query: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in query])
 
 
+def usable(vec: str, dim: int) -> Column:
+    """Whether a row's vector has ``dim`` components, all of them finite numbers."""
+    inf = F.lit(float("inf"))
+    return F.coalesce((F.size(vec) == dim) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)), F.lit(False))
+
+
+def dimension(vectors: DataFrame, vec: str = "embedding") -> int:
+    """The dimension of most rows (the smaller of two), 0 without any."""
+    row = vectors.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return row.d if row else 0
+
+
 def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(key, distance) of the k nearest rows, ties by key: a TakeOrderedAndProject without a shuffle of vectors."""
     q = literal(validated(query, k))
     v = V.vec(vec)
     d = {"l2": lambda: V.l2(v, q), "cosine": lambda: 1.0 - V.cosine(v, q), "geodesic": lambda: V.geodesic(V.normalise(v), V.normalise(q))}[metric]()
-    return vectors.select(key, d.alias("distance")).orderBy("distance", key).limit(k)
+    return vectors.where(usable(vec, len(query))).select(key, d.alias("distance")).orderBy("distance", key).limit(k)
 
 
 def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -47,11 +64,17 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, which): the vectors of ``dim`` components as a matrix, and which rows of the column they are."""
+    """(rows, which): the vectors of ``dim`` finite components as a matrix, and which rows of the column they are."""
     sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     which = sizes == dim
     flat = column.filter(pa.array(which)).flatten() if not which.all() else column.flatten()
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim), which
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    finite = np.isfinite(x).all(axis=1)
+    if not finite.all():
+        which = which.copy()
+        which[np.flatnonzero(which)[~finite]] = False
+        x = x[finite]
+    return x, which
 
 
 def query_blocks(queries: DataFrame, vec: str = "embedding", qid: str = "qid", block: int = QUERY_BLOCK) -> list:
@@ -61,10 +84,25 @@ def query_blocks(queries: DataFrame, vec: str = "embedding", qid: str = "qid", b
     for part in range(parts):
         own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(qid), F.lit(parts)) == part)
         rows = own.select(F.col(qid).cast("long"), V.vec(vec)).collect()
+        if len({r[1] is not None and len(r[1]) for r in rows}) > 1 or any(r[1] is None or None in r[1] or not np.isfinite(r[1]).all() for r in rows):
+            raise ValueError("queries need vectors of one dimension with finite components")
         out.append(queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64))))
     return out
 
 
+def compared(b: pa.RecordBatch, q: np.ndarray):
+    """(keys, vectors) of an Arrow batch (key, vector) that can be compared with the queries, some rows at a time.
+
+    No more than 4 million distances are in the making.
+    """
+    step = max(1, (1 << 22) // max(1, len(q)))
+    for lo in range(0, b.num_rows, step):
+        part = b.slice(lo, step)
+        x, which = matrix(part.column(1), q.shape[1])
+        if len(x):
+            yield part.column(0).to_numpy(zero_copy_only=False)[which], x
+
+
 def united(frames) -> DataFrame:
     """The rows of all frames, which have the same columns."""
     return reduce(DataFrame.unionByName, frames)
@@ -77,22 +115,13 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
     (with ties) for each query, so the shuffle holds k rows for each query and batch. Query sets
     beyond ``block`` are taken in blocks.
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    out = None
-    for part in range(parts):
-        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(qid), F.lit(parts)) == part)
-        rows = own.select(F.col(qid).cast("long"), V.vec(vec)).collect()
-        held = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)))
-
-        def run(batches, held=held):
-            ids, q = held.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                keys = b.column(0).to_numpy()
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
+
+    def run(batches, held):
+        ids, q = held.value
+        if not len(ids):
+            return
+        for b in batches:
+            for keys, x in compared(b, q):
                 d = _distances(q, x, metric)
                 if k < d.shape[1]:
                     keep = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
@@ -101,8 +130,8 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
                 i, j = np.nonzero(keep)
                 yield pa.record_batch([pa.array(ids[i]), pa.array(keys[j]), pa.array(d[i, j])], names=["qid", "key", "distance"])
 
-        found = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("v")).mapInArrow(run, "qid long, key long, distance double")
-        out = found if out is None else out.unionByName(found)
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("v"))
+    out = united(rows.mapInArrow(partial(run, held=held), "qid long, key long, distance double") for held in query_blocks(queries, vec, qid, block))
     w = Window.partitionBy("qid").orderBy("distance", "key")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("qid").alias(qid), F.col("key").alias(key), "distance", "rank")
 
@@ -143,14 +172,13 @@ def similarities(vectors: DataFrame, queries: DataFrame, group: str, vec: str =
 
     def run(batches, held):
         ids, q = held.value
+        if not len(ids):
+            return
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            g = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(g), -1)
-            s = 1.0 - _distances(q, x, "cosine")
-            for k in np.unique(g):
-                yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), k, dtype=np.int64)), pa.array(s[:, g == k].max(axis=1))], names=["qid", "g", "similarity"])
+            for g, x in compared(b, q):
+                s = 1.0 - _distances(q, x, "cosine")
+                for k in np.unique(g):
+                    yield pa.record_batch([pa.array(ids), pa.array(np.full(len(ids), k, dtype=np.int64)), pa.array(s[:, g == k].max(axis=1))], names=["qid", "g", "similarity"])
 
     rows = vectors.select(F.col(group).cast("long"), F.col(vec).cast("array<float>"))
     found = united(rows.mapInArrow(partial(run, held=held), "qid long, g long, similarity double") for held in query_blocks(queries, vec, qid, block))
@@ -162,10 +190,10 @@ def all_similarities(vectors: DataFrame, queries: DataFrame, vec: str = "embeddi
 
     def run(batches, held):
         ids, q = held.value
+        if not len(ids):
+            return
         for b in batches:
-            if b.num_rows and len(ids):
-                keys = b.column(0).to_numpy()
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
+            for keys, x in compared(b, q):
                 s = 1.0 - _distances(q, x, "cosine")
                 yield pa.record_batch([pa.array(np.repeat(ids, len(keys))), pa.array(np.tile(keys, len(ids))), pa.array(s.ravel())], names=["qid", "key", "similarity"])
 
@@ -181,6 +209,37 @@ def ivf_search(vectors: DataFrame, centers: DataFrame, query: list[float], k: in
     return knn(vectors.join(F.broadcast(probed), cluster, "left_semi"), query, k, vec=vec, key=key)
 
 
+def two_level_search(vectors: DataFrame, query: list[float], k: int, lod: int, n_probe: int, coarse: str, fine: str, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(key, distance) in a two-level index: rows that know their ``coarse`` and ``fine`` cluster.
+
+    Level of detail 0 takes the first k rows (by key) of each of the ``n_probe`` nearest coarse clusters, 1
+    all rows of each one's nearest fine cluster; both stop at the cluster that completes k. 2 searches the
+    coarse clusters whole. Only the probed clusters' rows are read on.
+    """
+    q = literal(validated(query, k))
+    tops = centroids(vectors, coarse).orderBy(V.l2(F.col("center"), q), "cluster").limit(n_probe).collect()
+    order = [r.cluster for r in tops]
+    if lod >= 2:
+        return knn(vectors.where(F.col(coarse).isin(order)), query, k, vec=vec, key=key)
+    if lod == 0:
+        sizes = {r.cluster: min(k, r.n) for r in tops}
+        rows = vectors.where(F.col(coarse).isin(order)).withColumn("r_", F.row_number().over(Window.partitionBy(coarse).orderBy(key))).where(F.col("r_") <= k)
+        match = lambda c: F.col(coarse) == c
+    else:
+        below = centroids(vectors.where(F.col(coarse).isin(order)).withColumn("c_", F.struct(F.col(coarse).alias("top"), F.col(fine).alias("low"))), "c_", vec)
+        near = below.groupBy("cluster.top").agg(F.min(F.struct(V.l2(F.col("center"), q).alias("d"), F.col("cluster.low").alias("low"), "n")).alias("m")).collect()
+        best = {r.top: r.m for r in near}
+        order = [c for c in order if c in best]
+        sizes, rows = {c: m.n for c, m in best.items()}, vectors
+        match = lambda c: (F.col(coarse) == c) & (F.col(fine) == best[c].low)
+    chosen, held = [], 0
+    for c in order:
+        if held < k:
+            chosen.append(c)
+            held += sizes[c]
+    return knn(rows.where(reduce(lambda x, y: x | y, (match(c) for c in chosen), F.lit(False))), query, k, vec=vec, key=key)
+
+
 def recall(approximate: DataFrame, exact: DataFrame, k: int, qid: str = "qid", key: str = "vec_id") -> DataFrame:
     """(n_queries, recall) of one ranking against another."""
     a = exact.join(approximate.select(qid, key).withColumn("hit", F.lit(1)), [qid, key], "left")
@@ -188,15 +247,16 @@ def recall(approximate: DataFrame, exact: DataFrame, k: int, qid: str = "qid", k
 
 
 def sign_buckets(vectors: DataFrame, tables: int = 16, bits: int = 8, seed: int = 7, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, table_id, bucket): sign-projection hashes of every row."""
+    """(key, table_id, bucket): sign-projection hashes of every row of the table's dimension."""
+    dim = dimension(vectors, vec)
 
     def run(batches):
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
         for b in batches:
-            if not b.num_rows:
+            x, which = matrix(b.column(1), dim)
+            if not len(x):
                 continue
-            keys = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
-            planes = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
+            keys = b.column(0).to_numpy(zero_copy_only=False)[which]
             codes = ((x @ planes >= 0).reshape(len(keys), tables, bits) << np.arange(bits)).sum(axis=2)
             yield pa.record_batch([pa.array(np.repeat(keys, tables)), pa.array(np.tile(np.arange(tables), len(keys)).astype(np.int32)), pa.array(codes.ravel().astype(np.int64))], names=["key", "table_id", "bucket"])
 
@@ -220,10 +280,10 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 32,
         codes = lambda x: ((x @ planes >= 0).reshape(len(x), tables, bits) << np.arange(bits)).sum(axis=2)
         asked = codes(q)
         for b in batches:
-            if not b.num_rows:
+            x, which = matrix(b.column(1), q.shape[1])
+            if not len(x):
                 continue
-            keys = b.column(0).to_numpy()
-            x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(keys), -1)
+            keys = b.column(0).to_numpy(zero_copy_only=False)[which]
             # for each table and bucket, the rows in it or beside it, as bits
             held_in = [np.packbits(np.arange(1 << bits)[:, None] == own[None], axis=1) for own in codes(x).T]
             beside = np.stack([np.bitwise_or.reduce(bucket[near], axis=1) for bucket in held_in])

@@ -44,6 +44,23 @@ def nearest_rank(rows: DataFrame, value: str, by: str, shares: dict[str, float])
     return r.groupBy(by).agg(*[F.max(F.when(F.col("i_") == F.least(F.floor(F.col("n_") * p) + 1, F.col("n_")), F.col(value))).alias(name) for name, p in shares.items()])
 
 
+def inbox(messages: DataFrame, now, priority: Column, least: int, seconds: Column, ts: str = "ts") -> DataFrame:
+    """Messages of priority ``least`` or more with ``place``: inbox, or dead once older than ``seconds``."""
+    age = (F.unix_micros(F.lit(now)) - F.unix_micros(F.col(ts))) / 1e6
+    return messages.where(priority >= least).withColumn("place", F.when(age > seconds, "dead").otherwise("inbox"))
+
+
+def latency_report(rows: DataFrame, size: str, latency: str) -> DataFrame:
+    """(size, p50, p95, p99, best): latencies at the rounded place (n - 1) p, and whether the size has most operations a second."""
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    r = ordered.placed(rows.select(size, latency), size, [latency])
+    at = lambda p: F.round((F.col("n_") - 1) * p).cast("long") + 1
+    out = r.groupBy(size).agg(*[F.max(F.when(F.col("i_") == at(p), F.col(latency))).alias(name) for name, p in shares.items()])
+    ops = rows.groupBy(size).agg(F.round(F.count("*") / F.sum(latency), 9).alias("ops_"))
+    first = ops.orderBy(F.desc("ops_"), size).select(size).first()
+    return out.withColumn("best", F.col(size) == F.lit(first[0] if first else None))
+
+
 def ndcg(relevant: Column, rank: Column, k: int = 10) -> Column:
     """Aggregate: discounted gain of 0-based ranks below k, log2(rank + 2)."""
     return F.sum(F.when((rank < k) & relevant, 1.0 / (F.log(rank + 2.0) / math.log(2))).otherwise(0.0))

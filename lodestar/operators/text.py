@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
 
+#: The token pattern and the ranking constants.
 TOKEN = "([a-záéíóúñü0-9]+)"
 K1, B = 1.5, 0.75
 
@@ -30,9 +34,79 @@ def where_all(rows: DataFrame, **wanted: str | None) -> DataFrame:
     return rows
 
 
+def counted(words: Column) -> Column:
+    """Array of (term, tf): the distinct words of a row, counted where the row is. Sorted words lie in runs; a run's length is its count."""
+    let = lambda value, f: F.transform(F.array(value), f)[0]
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+    return F.when(F.size(words) > 0, let(F.sort_array(words), lambda s: let(starts(s), lambda at: runs(s, at)))).otherwise(F.expr("cast(array() as array<struct<term:string,tf:bigint>>)"))
+
+
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, term, tf)."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, dl, term, tf): nothing is shuffled."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode(counted(F.col("t"))).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+
+
+class Index(NamedTuple):
+    """A written word index: postings in folders by a hash of the term and sorted by term; lengths of all documents; their number and mean length."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    n: int
+    avgdl: float
+
+
+#: Folders of an index's postings.
+FOLDERS = 64
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """One shuffle, of postings by their folder; the postings of a very common term are dealt into several tasks."""
+    rows = postings(docs, doc_id, text).withColumn("folder", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FOLDERS)).cast("int"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = rows.repartition(max(n, 1), "folder", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("folder", "term", "doc_id")
+    lengths = written(docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("dl")), "doc-lengths")
+    s = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    return Index(written(held, "postings", ("folder",)), lengths, s.n, s.avgdl or 0.0)
+
+
+def search_index(index: Index, query: str | list[str], k: int | None = 10, allowed: DataFrame | None = None, removed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(doc_id, score) as :func:`bm25` gives them, from the folders of the query's words alone.
+
+    ``removed`` (doc_id): documents that are gone, from the statistics too. ``allowed`` narrows the results only.
+    """
+    words = re_tokens(query) if isinstance(query, str) else list(query)
+    weight = {w: words.count(w) for w in words}
+    if not weight:
+        return index.lengths.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    folders = sorted({zlib.crc32(w.encode()) % FOLDERS for w in weight})
+    tf = index.postings.where(F.col("folder").isin(folders) & F.col("term").isin(sorted(weight))).select("doc_id", "dl", "term", "tf")
+    n, avgdl = index.n, index.avgdl
+    if removed is not None:
+        gone = removed.select("doc_id").distinct()
+        tf = tf.join(gone, "doc_id", "left_anti")
+        n, avgdl = index.lengths.join(gone, "doc_id", "left_anti").agg(F.count("*"), F.avg("dl")).first()
+    return _scored(tf, weight, n, avgdl or 0.0, k, allowed, k1, b)
+
+
+def _scored(tf: DataFrame, weight: dict[str, int], n: int, avgdl: float, k: int | None, allowed: DataFrame | None, k1: float, b: float, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, score) of (doc_id, dl, term, tf) for the words of a query and how often each is asked for."""
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query word
+    scored = tf.join(F.broadcast(df), "term")
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    times = F.element_at(F.create_map(*[x for w in sorted(weight) for x in (F.lit(w), F.lit(weight[w]))]), F.col("term"))
+    part = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    if allowed is not None:
+        scored = scored.join(allowed.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
+    out = scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    return out if k is None else out.orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+def rerank(hits: DataFrame, score: Column, k: int, key: str = "doc_id") -> DataFrame:
+    """The k rows of a bounded result list that a scorer of one's own (any column of ``hits``) puts first, with ranks from 0."""
+    top = hits.withColumn("score_", score).orderBy(F.desc("score_"), key).limit(k)
+    return ranked(top, F.desc("score_"), "rank", key).withColumnRenamed("score_", "rerank_score")
 
 
 def doc_lengths(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,9 +119,7 @@ def bm25(docs: DataFrame, query: str | list[str], k: int | None = 10, allowed: D
     Texts are read once: each one's length and its tokens among the query's words are written, and
     both the statistics and the scores come from that narrow table. ``allowed`` narrows the results, not the statistics.
     """
-    import re
-
-    words = re.findall(TOKEN, query.lower()) if isinstance(query, str) else list(query)
+    words = re_tokens(query) if isinstance(query, str) else list(query)
     weight = {w: words.count(w) for w in words}
     if not weight:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
@@ -55,18 +127,9 @@ def bm25(docs: DataFrame, query: str | list[str], k: int | None = 10, allowed: D
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t")).select("doc_id", F.size("t").cast("long").alias("dl"), F.filter("t", lambda x: F.array_contains(asked, x)).alias("t"))
     rows = written(rows, "query-postings")
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counted = F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("t", lambda x: x == w)).alias("tf")))
-    tf = rows.select("doc_id", "dl", F.explode(counted).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query word
+    tf = rows.select("doc_id", "dl", F.explode(counted(F.col("t"))).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
     s = stats.first()
-    scored = tf.join(F.broadcast(df), "term")
-    idf = F.log((F.lit(s.n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    times = F.element_at(F.create_map(*[x for w in sorted(weight) for x in (F.lit(w), F.lit(weight[w]))]), F.col("term"))
-    part = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(s.avgdl)))
-    if allowed is not None:
-        scored = scored.join(allowed.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
-    out = scored.groupBy("doc_id").agg(F.sum(part).alias("score"))
-    return out if k is None else out.orderBy(F.desc("score"), "doc_id").limit(k)
+    return _scored(tf, weight, s.n, s.avgdl or 0.0, k, allowed, k1, b, doc_id)
 
 
 def ranked(hits: DataFrame, by: Column, name: str, key: str = "doc_id") -> DataFrame:

@@ -154,6 +154,22 @@ def s18_capacity_append(spark, sf_dir):
     return store.append(fresh(e.where("label <> 0")), fresh(e.where("label = 0")), e.count())[0]
 
 
+@query("select vec_id, label from embeddings where label <> 0")
+def s18_capacity_refused(spark, sf_dir):
+    """A batch that passes the capacity by one row is refused whole."""
+    e = emb(spark, sf_dir).select("vec_id", "label")
+    return store.append(e.where("label <> 0"), e.where("label = 0"), e.count() - 1)[0]
+
+
+@query("with n as (select doc_id, coalesce(source, '') || case doc_id % 5 when 1 then '/../x' when 2 then '..' when 3 then chr(92) || 'y' else '-' || doc_id end as name from documents) select doc_id, not (name = '' or contains(name, '/') or contains(name, chr(92)) or contains(name, '..')) as safe from n")
+def s06_shard_names(spark, sf_dir):
+    """Whether a name may become a shard's file."""
+    i = F.pmod("doc_id", F.lit(5))
+    tail = F.when(i == 1, "/../x").when(i == 2, "..").when(i == 3, "\\y").otherwise(F.concat(F.lit("-"), F.col("doc_id").cast("string")))
+    name = F.concat(F.coalesce("source", F.lit("")), tail)
+    return load(spark, sf_dir, "documents").select("doc_id", binary_vectors.is_safe(name).alias("safe"))
+
+
 @query(f"{MIX} select count(*) as n_splats, round(sum(alpha), 6) as weight, max(len(mu))::int as dim from s")
 def s19_load_splats(spark, sf_dir):
     mix = written(energy.splats(emb(spark, sf_dir), "label"), "splats")
@@ -223,6 +239,13 @@ def a17_ingest(spark, sf_dir):
     return energy.splats(e.join(clustering.assign(e, centers), "vec_id"), "cluster").select("cluster", "n", "alpha", "kappa")
 
 
+@query("""with r as (select event_type, value, row_number() over (partition by event_type order by value) as i, count(*) over (partition by event_type) as n from events), o as (select event_type, count(*) / sum(value) as ops from events group by 1)
+    select event_type as size, """ + ", ".join(f"max(case when i = round((n - 1) * {p})::bigint + 1 then value end) as {name}" for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))) + """, event_type = (select event_type from o order by round(ops, 9) desc, event_type limit 1) as best from r group by 1""")
+def r14_latency_report(spark, sf_dir):
+    """Percentiles of latency for each size by rounded place, and the size of most operations a second."""
+    return routing.latency_report(load(spark, sf_dir, "events"), "event_type", "value").withColumnRenamed("event_type", "size")
+
+
 @query("select count(*) as n, sum(len(embedding) * 4)::bigint as raw_bytes, sum((len(embedding) // 2) * 6)::bigint as code_bytes, round(sum(len(embedding) * 4) / sum((len(embedding) // 2) * 6), 6) as actual_ratio, 8.0::double as nominal_ratio from embeddings")
 def a22_quantised_stats(spark, sf_dir):
     n = F.size("embedding")
@@ -281,6 +304,12 @@ def e14_compositional(spark, sf_dir):
     return emb(spark, sf_dir).select("vec_id", F.lit(0.0).alias("compositional"))
 
 
+@query(f"{MIX} select label as cluster, round(alpha, 6) as energy, 1::int as size from s")
+def e14_splat_state(spark, sf_dir):
+    """The state that follows new splats: one cluster for each, its energy the splat's weight, its size 1."""
+    return energy.splat_state(energy.splats(emb(spark, sf_dir), "label")).select("cluster", R(F.col("energy")).alias("energy"), "size")
+
+
 # sharding, routing, nodes -------------------------------------------------------------------
 
 
@@ -362,6 +391,17 @@ def d10_retry_queue(spark, sf_dir):
     return e.groupBy("user_id").agg(F.least(F.count("*"), F.lit(5)).alias("retries"), (F.count("*") > 5).alias("given_up"))
 
 
+@query("""with r as (select *, row_number() over (partition by user_id order by ts, event_id) as i from events where event_type in ('error', 'purchase')), f as (select user_id, min(case when event_type = 'purchase' then i end) as done from r group by 1)
+    select event_id, user_id, i - 1 as attempt, case when i - 1 >= 5 then 'dropped' when done is not null and i > done then 'new' when done is not null then 'sent' else 'waiting' end as state from r join f using (user_id) where event_type = 'error'""")
+def d10_sync_queue(spark, sf_dir):
+    """Each failed action in its sender's queue: sent by the sender's first success after it, waiting, or dropped after five attempts."""
+    e = load(spark, sf_dir, "events").where("event_type in ('error', 'purchase')").select("event_id", "user_id", "event_type", "ts")
+    r = written(ordered.placed(e, "user_id", ["ts", "event_id"]).withColumnRenamed("i_", "i"), "queue")
+    done = r.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", F.col("i"))).alias("done"))
+    state = F.when(F.col("i") - 1 >= 5, "dropped").when(F.col("done").isNotNull() & (F.col("i") > F.col("done")), "new").when(F.col("done").isNotNull(), "sent").otherwise("waiting")
+    return r.where("event_type = 'error'").join(done, "user_id").select("event_id", "user_id", (F.col("i") - 1).alias("attempt"), state.alias("state"))
+
+
 @query("""with r as (select event_type as node, value, ts, event_id, row_number() over (partition by event_type order by ts, event_id) as i, count(*) over (partition by event_type) as n from events)
     select node, arg_max(value, (ts, event_id)) as latest, case when avg(case when i * 2 > n then value end) > 1.1 * avg(case when i * 2 <= n then value end) then 'up' when avg(case when i * 2 > n then value end) < 0.9 * avg(case when i * 2 <= n then value end) then 'down' else 'flat' end as trend from r group by node""")
 def d11_scaling_signals(spark, sf_dir):
@@ -374,6 +414,18 @@ def d12_percentiles(spark, sf_dir):
     return routing.nearest_rank(load(spark, sf_dir, "events"), "value", "event_type", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
+PRIORITY = "case event_type when 'error' then 3 when 'purchase' then 2 when 'signup' then 1 else 0 end"
+
+
+@query(f"with m as (select event_id as message, 'user' || (user_id % 4) as receiver, event_type as topic, {PRIORITY} as priority, ts from events), n as (select max(ts) as now from events) select message, receiver, topic, priority, case when epoch(now) - epoch(ts) > 86400.0 * (1 + priority * 3) then 'dead' else 'inbox' end as place from m, n where priority >= 1")
+def d12_message_bus(spark, sf_dir):
+    """Messages of priority 1 or more by receiver and topic; those past their time to live lie with the dead letters."""
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = e.agg(F.max("ts")).first()[0]
+    m = e.select(F.col("event_id").alias("message"), F.concat(F.lit("user"), F.pmod("user_id", F.lit(4)).cast("string")).alias("receiver"), F.col("event_type").alias("topic"), F.expr(PRIORITY).alias("priority"), "ts")
+    return routing.inbox(m, now, F.col("priority"), least=1, seconds=86400.0 * (1 + F.col("priority") * 3)).drop("ts")
+
+
 @query("with h as (select user_id as splat, count(*) as hits, max(event_id) as last from events group by 1) select splat, case when hits >= 10 then 'hot' else 'cold' end as tier, row_number() over (order by last, splat)::int as eviction from h")
 def d13_tiers_lru(spark, sf_dir):
     h = load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("splat")).agg(F.count("*").alias("hits"), F.max("event_id").alias("last"))

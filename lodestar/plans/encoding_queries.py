@@ -173,8 +173,8 @@ def s13_graph_checks(spark, sf_dir):
 
 @query()
 def k26_index_tables(spark, sf_dir):
-    """Build once, then search the written index."""
-    index = written(graph_index.build(emb(spark, sf_dir)), "graph")
+    """Build once, then search the packed index without shuffling it."""
+    index = graph_index.packed(graph_index.build(emb(spark, sf_dir)))
     return graph_index.search(index, asked(spark, sf_dir), 10)
 
 
@@ -199,3 +199,11 @@ def k24_collection_search(spark, sf_dir):
     e = emb(spark, sf_dir).where("label in (1, 2)")
     d = F.round(1 - V.cosine(V.vec("embedding"), knn.literal(first(spark, sf_dir))), 9)
     return e.select("vec_id", F.col("label").alias("collection"), d.alias("d")).orderBy("d", "vec_id").limit(10).select("vec_id", "collection", R(F.col("d")).alias("distance"))
+
+
+@query(f"{BASE}, f as (select vec_id, list_concat(v, list_transform(range(16), lambda x: 0.0::double)) as f from e) select vec_id, len(f)::int as dim, round(list_sum(f) / (sqrt(list_sum(list_transform(f, lambda x: x * x))) + 1e-8), 6) as total from f")
+def v30_encoder_registry(spark, sf_dir):
+    """An encoder known by its name; here the vectors come from a table, 64 components fitted to 80."""
+    encoders.register("table", lambda table: table.select("vec_id", "embedding"))
+    out = encoders.encode("table", emb(spark, sf_dir), 80)
+    return out.select("vec_id", F.size("embedding").alias("dim"), R(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)).alias("total"))

@@ -31,9 +31,23 @@ def question(spark, sf_dir) -> str:
     return (rows[0].text or "") if rows else ""
 
 
+_INDEXES: dict[tuple, text.Index] = {}
+
+
+def word_index(spark, sf_dir) -> text.Index:
+    """The word index of the documents: built once for each state of their files, then read by every search of the session."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, at = fs.getContentSummary(path), fs.getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, size.getLength(), size.getFileCount(), at)
+    if key not in _INDEXES:
+        _INDEXES[key] = text.build_index(docs(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def word_hits(spark, sf_dir, k=20, **options):
     """The k best documents of the first benchmark item, with ranks from 0."""
-    all_ = text.bm25(docs(spark, sf_dir), question(spark, sf_dir), None, **options)
+    all_ = text.search_index(word_index(spark, sf_dir), question(spark, sf_dir), None, **options)
     top = all_.withColumn("r_", F.round("score", 9)).orderBy(F.desc("r_"), "doc_id").limit(k)
     return text.ranked(top, F.desc("r_"), "rank").drop("r_")
 
@@ -43,6 +57,15 @@ def vector_hits(spark, sf_dir, k=20):
     return text.ranked(near, F.col("distance"), "rank")
 
 
+@query(f"{BM}, {TOP20} select doc_id, round(len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text[1:200], '')), '{TOK}')), (select list(term) from q)))::double / (select count(*) from q), 6) as rerank_score, row_number() over (order by round(len(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(text[1:200], '')), '{TOK}')), (select list(term) from q)))::double / (select count(*) from q), 6) desc, doc_id) - 1 as rank from b join documents using (doc_id) order by 3 limit 10")
+def t23_title_rerank(spark, sf_dir):
+    """The 20 best documents, ranked again by a scorer over their openings: the share of the question's words there."""
+    words = sorted(set(text.re_tokens(question(spark, sf_dir))))
+    hits = docs(spark, sf_dir).join(F.broadcast(word_hits(spark, sf_dir).select("doc_id")), "doc_id")
+    found = F.size(F.array_intersect(F.array_distinct(text.tokens(F.substring("text", 1, 200))), F.array(*[F.lit(w) for w in words])))
+    return text.rerank(hits, F.round(found / F.lit(float(max(1, len(words)))), 6), 10).select("doc_id", "rerank_score", "rank")
+
+
 @query(f"select doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '{TOK}'))::bigint as n_tokens, len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{TOK}')))::bigint as n_terms from documents")
 def t01_tokens(spark, sf_dir):
     t = text.tokens(F.col("text"))
@@ -51,7 +74,7 @@ def t01_tokens(spark, sf_dir):
 
 @query(f"{BM} select term, df, (select sum(tf)::bigint from tf x where x.term = df.term) as total, round((select avgdl from st), 6) as avgdl from df")
 def t02_bm25_index(spark, sf_dir):
-    """One pass over the texts; the mean length follows from the index and the number of rows."""
+    """One pass over the texts, which counts words in their rows, and one shuffle by term; the mean length follows from the index and the number of rows."""
     d = docs(spark, sf_dir)
     index = written(text.postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "index")
     n, total = d.count(), index.agg(F.sum("total")).first()[0]
@@ -70,8 +93,8 @@ def t04_bm25_filtered(spark, sf_dir):
 
 @query(BM.replace("from documents)", "from documents where doc_id not in (select doc_id from labels where toxic = 1))", 1) + " select doc_id, round(score, 6) as score from bm order by round(score, 9) desc, doc_id limit 10")
 def t05_bm25_removed(spark, sf_dir):
-    live = docs(spark, sf_dir).join(load(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    top = text.bm25(live, question(spark, sf_dir), None).withColumn("r_", F.round("score", 9)).orderBy(F.desc("r_"), "doc_id").limit(10)
+    gone = load(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    top = text.search_index(word_index(spark, sf_dir), question(spark, sf_dir), None, removed=gone).withColumn("r_", F.round("score", 9)).orderBy(F.desc("r_"), "doc_id").limit(10)
     return top.select("doc_id", R(F.col("score")).alias("score"))
 
 

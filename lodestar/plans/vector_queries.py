@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import clustering, energy, graph_index, knn, ordered, store
-from ..session import load
+from ..session import load, written
 from .registry import query
 
 E_, O_ = "embeddings", "(select list_transform(embedding, lambda x: x::double) as q from embeddings where vec_id = 0)"
@@ -198,6 +198,34 @@ def k09_cluster_pruned(spark, sf_dir):
     return knn.ivf_search(e, knn.centroids(e, "label"), first(spark, sf_dir), 10, 3, "label").select("vec_id", R(F.col("distance")).alias("distance"))
 
 
+#: Two levels with clusters that are given: labels, and in each the remainder by four.
+LEVELS = f"{CENTERS}, top as (select label, row_number() over (order by list_distance(c, q), label) as place from c, o order by 2 limit 3)"
+
+
+def levels(spark, sf_dir, lod):
+    e = emb(spark, sf_dir).withColumn("fine", F.pmod("vec_id", F.lit(4)))
+    return knn.two_level_search(e, first(spark, sf_dir), 60, lod, 3, "label", "fine").select("vec_id", R(F.col("distance")).alias("distance"))
+
+
+@query(f"{LEVELS}, r as (select vec_id, v, label, place, row_number() over (partition by label order by vec_id) as i from e join top using (label)), n as (select place, least(count(*), 60) as n from e join top using (label) group by place), s as (select place, coalesce(sum(n) over (order by place rows between unbounded preceding and 1 preceding), 0) as before from n) select vec_id, round(list_distance(v, q), 6) as distance from r join s using (place), o where i <= 60 and before < 60 order by list_distance(v, q), vec_id limit 60")
+def k09_lod0(spark, sf_dir):
+    """The first rows of the nearest coarse clusters."""
+    return levels(spark, sf_dir, 0)
+
+
+@query(f"""{LEVELS}, fm as (select label, fine, i, avg(v[i]) as x, count(*) as n from (select label, vec_id % 4 as fine, v, unnest(range(1, 65)) as i from e) group by label, fine, i), fc as (select label, fine, list(x order by i) as c, max(n) as n from fm group by label, fine),
+    best as (select label, place, fine, n from (select *, row_number() over (partition by label order by list_distance(c, q), fine) as r from fc join top using (label), o) where r = 1), s as (select *, coalesce(sum(n) over (order by place rows between unbounded preceding and 1 preceding), 0) as before from best)
+    select vec_id, round(list_distance(v, q), 6) as distance from e join s on e.label = s.label and e.vec_id % 4 = s.fine, o where before < 60 order by list_distance(v, q), vec_id limit 60""")
+def k09_lod1(spark, sf_dir):
+    """The nearest fine cluster of each of the nearest coarse ones."""
+    return levels(spark, sf_dir, 1)
+
+
+@query(f"{LEVELS} select vec_id, round(list_distance(v, q), 6) as distance from e join top using (label), o order by list_distance(v, q), vec_id limit 60")
+def k09_lod2(spark, sf_dir):
+    return levels(spark, sf_dir, 2)
+
+
 @query(f"{CENTERS.replace('limit 3', 'limit 5')} select vec_id, case when (select count(*) from e) < 100 then 'linear' else 'hrm2' end as strategy, round(list_distance(v, q), 6) as distance from e, o where (select count(*) from e) < 100 or label in (select label from p) order by list_distance(v, q), vec_id limit 10")
 def k10_fast_with_fallback(spark, sf_dir):
     """Linear below 100 rows, else inside the nearest clusters."""
@@ -232,6 +260,16 @@ def k14_tombstones(spark, sf_dir):
     return knn.knn_batch(live, asked(spark, sf_dir), 10).withColumn("distance", R(F.col("distance")))
 
 
+@query(f"{BASE} select count(*) as n_queries, true as enough, 0::bigint as removed_found from e where vec_id % 20 = 0")
+def k14_graph_tombstones(spark, sf_dir):
+    """The index with tombstones: recall at 10 against the exact answer over live rows is at least 0.9, and no removed key is found."""
+    e, q = emb(spark, sf_dir), asked(spark, sf_dir)
+    gone = e.where("vec_id % 7 = 3").select("vec_id")
+    found = written(graph_index.search_live(graph_index.packed(graph_index.build(e)), gone, e, q, 10), "tombstones")
+    r = knn.recall(found, knn.knn_batch(e.join(gone, "vec_id", "left_anti"), q, 10), 10)
+    return r.select("n_queries", (F.col("recall") >= 0.9).alias("enough"), F.lit(found.join(gone, "vec_id", "left_semi").count()).alias("removed_found"))
+
+
 @query()
 def k15_lsh_search(spark, sf_dir):
     return knn.lsh_search(emb(spark, sf_dir), asked(spark, sf_dir), 10)
@@ -244,14 +282,30 @@ def k16_quantised_search(spark, sf_dir):
     return emb(spark, sf_dir).select("vec_id", s.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", R(F.col("s"), 5).alias("score"))
 
 
-@query(f"{BASE}, a as (select vec_id from e, o order by list_distance(v[1:16], q[1:16]), vec_id limit 50), b as (select vec_id from e, o where label = 0 order by list_distance(v, q), vec_id limit 50), u as (select * from a union select * from b) select vec_id, round(list_distance(v, q), 6) as distance from e join u using (vec_id), o order by list_distance(v, q), vec_id limit 10")
+@query(f"{POLAR}, s as (select vec_id, sum(r * (q[2*i+1] * cos(code * 2 * pi() / 16 - pi()) + q[2*i+2] * sin(code * 2 * pi() / 16 - pi()))) as s from c, o group by vec_id), a as (select vec_id from s order by round(s, 9) desc, vec_id limit 50), m as (select label, i, avg(v[i]) as x from (select label, v, unnest(range(1, 65)) as i from e) group by label, i), t as (select label, list(x order by i) as t from m group by label), b as (select vec_id from e, o where label = (select label from t, o order by list_distance(t, q), label limit 1) order by list_distance(v, q), vec_id limit 50), u as (select * from a union select * from b) select vec_id, round(list_distance(v, q), 6) as distance from e join u using (vec_id), o order by list_distance(v, q), vec_id limit 10")
 def k17_fused_search(spark, sf_dir):
+    """Candidates by quantised scores and from the query's own cluster, ranked exactly."""
     e, q = emb(spark, sf_dir), first(spark, sf_dir)
-    a = e.select("vec_id", V.l2(F.slice(V.vec("embedding"), 1, 16), knn.literal(q[:16])).alias("d")).orderBy("d", "vec_id").limit(50).select("vec_id")
-    b = knn.knn(e.where("label = 0"), q, 50).select("vec_id")
+    s = V.dot(V.polar_decode(V.polar_encode(V.vec("embedding"), 4), 4), knn.literal(q))
+    a = e.select("vec_id", F.round(s, 9).alias("s")).orderBy(F.desc("s"), "vec_id").limit(50).select("vec_id")
+    b = knn.ivf_search(e, knn.centroids(e, "label"), q, 50, 1, "label").select("vec_id")
     return knn.knn_filtered(e, a.union(b).distinct(), q, 10).select("vec_id", R(F.col("distance")).alias("distance"))
 
 
+#: Noise of a start on a component: 0 for the first start, else within a tenth of 1.
+NOISE = "case when s = 0 then 0.0 else ((s * 7919 + i * 104729) % 1000) / 1000.0::double * 0.2::double - 0.1::double end"
+
+
+@query(f"{BASE}, p as (select s, list(q[i + 1] + {NOISE} order by i) as v from (select s, unnest(range(64)) as i, q from unnest(range(5)) as t(s), o) group by s), d as (select s, vec_id, list_distance(e.v, p.v) as d, row_number() over (partition by s order by list_distance(e.v, p.v), vec_id) as r from e, p) select vec_id, count(*) as votes, round(avg(d), 6) as mean_distance from d where r <= 10 group by vec_id order by count(*) desc, round(avg(d), 6), vec_id limit 10")
+def k18_multi_start(spark, sf_dir):
+    """One query from five starts, four of them shifted by noise; results by votes, then mean distance."""
+    q = first(spark, sf_dir)
+    noise = lambda s, i: 0.0 if s == 0 else ((s * 7919 + i * 104729) % 1000) / 1000.0 * 0.2 - 0.1
+    starts = spark.createDataFrame([(s, [x + noise(s, i) for i, x in enumerate(q)]) for s in range(5)], "qid long, embedding array<double>")
+    near = knn.knn_batch(emb(spark, sf_dir), starts, 10)
+    return near.groupBy("vec_id").agg(F.count("*").alias("votes"), R(F.avg("distance")).alias("mean_distance")).orderBy(F.desc("votes"), "mean_distance", "vec_id").limit(10)
+
+
 @query(f"{batch_sql('list_distance(e.v, a.v)').rpartition('select qid')[0]} select vec_id, count(*) as votes, round(avg(d), 6) as mean_distance from r where rank <= 10 group by vec_id order by count(*) desc, round(avg(d), 6), vec_id limit 10")
 def k18_voting(spark, sf_dir):
     near = knn.knn_batch(emb(spark, sf_dir), asked(spark, sf_dir), 10)

@@ -19,10 +19,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names; a folder of our own only where it is unset and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="lodestar-")
@@ -30,15 +32,16 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder as Parquet and read it back.
 
     Unlike an in-memory cache or a local checkpoint this outlives executors, and the
-    reader gets column pruning, filter pushdown and size statistics.
+    reader gets column pruning, filter pushdown and size statistics. ``by``: columns that become
+    folders, so that a filter on them reads only those.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lodestar/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestar_path = path
     return out

@@ -12,7 +12,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ELEMENTS = 1_000_000_000
@@ -119,3 +119,9 @@ def safe_name(name: str) -> str:
     if not name or any(x in name for x in ("/", "\\", "..", "\0")):
         raise ValueError(f"not a plain name: {name!r}")
     return name
+
+
+def is_safe(name: Column) -> Column:
+    """The same for a column of names."""
+    bad = [F.contains(name, F.lit(x)) for x in ("/", "\\", "..", "\0")]
+    return F.coalesce((name != "") & ~(bad[0] | bad[1] | bad[2] | bad[3]), F.lit(False))

@@ -353,3 +353,81 @@ def test_multi_probe():
     own = sketches.cross_polytope(x, 2)
     for row, probes in zip(own.tolist(), sketches.multi_probe(x, 2, top=3, n=6)):
         assert probes[0] == row and len(probes) == 6 and len({tuple(p) for p in probes}) == 6
+
+
+def odd_vectors(spark):
+    """Forty good vectors of two components, and rows with null, short, long and not finite ones."""
+    good = [(i, [float(i % 8), float(i // 8)]) for i in range(40)]
+    bad = [(100, None), (101, [1.0]), (102, [1.0, 2.0, 3.0]), (103, [None, 1.0]), (104, [float("nan"), 1.0]), (105, [float("inf"), 0.0]), (106, [])]
+    make = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    return make(good + bad), make(good)
+
+
+def test_odd_vectors_change_nothing(spark):
+    """Rows without a usable vector are no neighbour of anything; all others have the result they have without them."""
+    from lodestar.operators import clustering
+
+    both, good = odd_vectors(spark)
+    q = good.where("vec_id % 5 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    searches = {
+        "knn": lambda t: knn.knn(t, [1.0, 2.0], 50),
+        "cosine": lambda t: knn.knn(t, [1.0, 2.0], 50, "cosine"),
+        "batch": lambda t: knn.knn_batch(t, q, 100),
+        "lsh": lambda t: knn.lsh_search(t, q, 3),
+        "buckets": lambda t: knn.sign_buckets(t, 2, 3),
+        "group": lambda t: knn.similarities(t, q, "label"),
+        "all": lambda t: knn.all_similarities(t, q),
+        "graph": lambda t: graph_index.search(graph_index.build(t), q, 3),
+        "packed": lambda t: graph_index.search(graph_index.packed(graph_index.build(t)), q, 3),
+    }
+    for name, f in searches.items():
+        assert rows(f(both)) == rows(f(good)), name
+    assert rows(searches["graph"](good)) == rows(searches["packed"](good))
+    assert knn.knn(both, [1.0, 2.0], 50).count() == 40
+    for name, f in {"map_reduce": lambda t: clustering.map_reduce(t, 3), "leaders": lambda t: clustering.leaders(t, 2.0), "two_level": lambda t: clustering.two_level(t, 2, 2)}.items():
+        got = {r.vec_id: tuple(r)[1:] for r in f(both).collect()}
+        assert {i for i, x in got.items() if x[0] is None} == {r.vec_id for r in both.where("vec_id >= 100").collect()}, name
+    assert clustering.map_reduce(good, 3).where("cluster is null").count() == 0
+    for wrong in ([(1, [1.0, 2.0]), (2, [1.0])], [(1, None)], [(1, [float("nan"), 0.0])]):
+        with pytest.raises(ValueError):
+            knn.knn_batch(good, spark.createDataFrame(wrong, "qid long, embedding array<float>"), 3)
+
+
+def test_removed_keys_of_an_index(spark):
+    """A walk that meets only removed keys falls back to the rows that are left."""
+    _, good = odd_vectors(spark)
+    q = good.where("vec_id = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    index = graph_index.packed(graph_index.build(good))
+    gone = good.where("vec_id < 35").select("vec_id")
+    got = [r.vec_id for r in graph_index.search_live(index, gone, good, q, 3).orderBy("rank").collect()]
+    assert got == [r.vec_id for r in knn.knn_batch(good.where("vec_id >= 35"), q, 3).orderBy("rank").collect()]
+
+
+def test_word_index(spark):
+    """Searches of a written index equal searches of the texts, with removed and allowed documents too."""
+    rows = [(1, "hello world"), (2, "hello hello there"), (3, None), (4, ""), (5, "the world is wide wide wide"), (6, "hello " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = text.build_index(docs)
+    same = lambda a, b: [(r.doc_id, round(r.score, 9)) for r in a.collect()] == [(r.doc_id, round(r.score, 9)) for r in b.collect()]
+    for query in ("hello", "hello hello wide", "nothing here", "", "WORLD"):
+        assert same(text.search_index(index, query), text.bm25(docs, query)), query
+    gone = docs.where("doc_id = 6").select("doc_id")
+    assert same(text.search_index(index, "hello wide", removed=gone), text.bm25(docs.where("doc_id <> 6"), "hello wide"))
+    few = docs.where("doc_id in (1, 5)").select("doc_id")
+    assert same(text.search_index(index, "hello wide", allowed=few), text.bm25(docs, "hello wide", allowed=few))
+    plan = index.postings.where("folder = 3")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan
+    assert {(r.doc_id, r.term, r.tf) for r in text.postings(docs).collect()} >= {(2, "hello", 2), (5, "wide", 3), (6, "hello", 500)}
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    """Off one machine a session without spark.checkpoint.dir is refused."""
+    from types import SimpleNamespace
+
+    from lodestar import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(master="spark://host:7077", applicationId="app-1", getConf=lambda: conf)
+    with pytest.raises(RuntimeError):
+        session.scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
