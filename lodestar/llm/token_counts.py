@@ -1,8 +1,9 @@
 """Token counts by a scan for separators in flat token files without an index.
 
-A flat file is a run of 16-bit ids (32-bit where the vocabulary is larger), documents one
-after the other, each closed by the end-of-document id; its blocks are cut at a fixed number
-of ids, wherever that falls. Each block is searched for the separator as one array. What lies
+A flat file is a run of ids, documents one after the other, each closed by the end-of-document
+id; its blocks are cut at a fixed number of ids, wherever that falls. Ids take 16 bits, or 32 where
+the vocabulary or the end-of-document id needs them; each block names its width, and the reader
+goes by that. Each block is searched for the separator as one array. What lies
 before its first and after its last separator is stitched by a prefix scan over one row for
 each block, so a document may span any number of blocks.
 
@@ -26,25 +27,28 @@ BLOCK_IDS = 1 << 19
 END = 50256
 
 
-def write_flat(docs: DataFrame, path: str | None = None, end_id: int = END, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, wide: bool = False) -> DataFrame:
-    """Write flat files: rows of (part, block, ids); and, apart, which document came where (part, nth, doc_id).
+def write_flat(docs: DataFrame, path: str | None = None, end_id: int = END, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS, wide: bool | None = None) -> DataFrame:
+    """Write flat files: rows of (part, block, width, ids); and, apart, which document came where (part, nth, doc_id).
 
-    Strings of special tokens in a text are ordinary text, so the separator never occurs inside one.
+    ``wide``: 32-bit ids or not; None goes by the vocabulary. An id that a given width cannot hold is an error. Strings of special tokens in a text are ordinary text, so the separator never occurs inside one.
     """
     path = path or default_path("byte_bpe_50k.json")
-    kind = "<u4" if wide else "<u2"
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, block, nth, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        width = 4 if (max(encoder(path, plain_specials=True).top, end_id) > 0xFFFF if wide is None else wide) else 2
 
         def row(data: bytes):
-            ids = np.frombuffer(data, dtype="<u4").astype(kind).tobytes()
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([ids], pa.binary()), pa.array([[]], pa.list_(pa.int64())), pa.array([0], pa.int64())], names=names)
+            ids = np.frombuffer(data, dtype="<u4")
+            if width == 2 and len(ids) and ids.max() > 0xFFFF:
+                raise ValueError(f"id {ids.max()} does not fit into 16 bits")
+            ids = ids.astype(f"<u{width}").tobytes()
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([width], pa.int32()), pa.array([ids], pa.binary()), pa.array([[]], pa.list_(pa.int64())), pa.array([0], pa.int64())], names=names)
 
-        names = ["part", "block", "ids", "doc_ids", "nth"]
+        names = ["part", "block", "width", "ids", "doc_ids", "nth"]
         for b in batches:
             for ids in encoder(path, plain_specials=True).ids(text_list(b.column(1))):
                 held.append(ids + end)
@@ -56,12 +60,12 @@ def write_flat(docs: DataFrame, path: str | None = None, end_id: int = END, doc_
                     yield row(data[at : at + 4 * block_ids])
                     block += 1
                 held, size = [data[whole:]], size - whole // 4
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([nth], pa.int64())], names=names)
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([-1], pa.int32()), pa.array([width], pa.int32()), pa.array([None], pa.binary()), pa.array([b.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([nth], pa.int64())], names=names)
             nth += b.num_rows
         if size:
             yield row(b"".join(held))
 
-    return written(map_text(id_and_text(docs, doc_id, text), run, "part int, block int, ids binary, doc_ids array<long>, nth long"), "flat-tokens")
+    return written(map_text(id_and_text(docs, doc_id, text), run, "part int, block int, width int, ids binary, doc_ids array<long>, nth long"), "flat-tokens")
 
 
 def documents_of(files: DataFrame) -> DataFrame:
@@ -69,20 +73,19 @@ def documents_of(files: DataFrame) -> DataFrame:
     return files.where("block < 0").select("part", "nth", F.posexplode("doc_ids").alias("at", "doc_id")).select("part", (F.col("nth") + F.col("at")).alias("nth"), "doc_id")
 
 
-def counts(files: DataFrame, end_id: int = END, wide: bool = False) -> DataFrame:
+def counts(files: DataFrame, end_id: int = END) -> DataFrame:
     """(part, nth, start, n_tokens): the documents of each flat file, from its ids alone; the separator is not counted."""
-    kind = "<u4" if wide else "<u2"
 
     def run(batches):
         for b in batches:
-            for part, block, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                ids = np.frombuffer(data, dtype=kind)
+            for part, block, width, data in zip(*(b.column(i).to_pylist() for i in range(4))):
+                ids = np.frombuffer(data, dtype=f"<u{width}")
                 at = np.flatnonzero(ids == end_id)
                 run = np.diff(at, prepend=-1, append=len(ids)) - 1  # ids before each separator, and after the last
                 k = len(run)
                 yield pa.record_batch([pa.array(np.full(k, part), pa.int32()), pa.array(np.full(k, block), pa.int32()), pa.array(np.arange(k)), pa.array(run.astype(np.int64)), pa.array(np.full(k, k - 1)), pa.array(np.append(at, len(ids)).astype(np.int64))], names=["part", "block", "k", "run", "n_ends", "at"])
 
-    blocks = files.where("block >= 0").select("part", "block", "ids")
+    blocks = files.where("block >= 0").select("part", "block", "width", "ids")
     found = written(map_text(blocks, run, "part int, block int, k long, run long, n_ends long, at long"), "separators")
     last = found.where("k = n_ends").select("part", "block", "n_ends", F.col("run").alias("tail"), F.col("at").alias("size"))
     w = Window.partitionBy("part").orderBy("block")

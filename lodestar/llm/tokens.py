@@ -75,6 +75,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])  # the largest id
         self.words = spec["model"].get("end_of_word_suffix") == "</w>"  # else byte-level with spaces kept
         self.cache = Chunks(self)
         self.fast = self._word_merges(spec) if self.words else self._byte_merges(spec)
