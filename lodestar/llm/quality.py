@@ -61,14 +61,17 @@ class Compressors:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, max_docs: int, max_bytes: int) -> list[tuple[bytes, int]]:
-    """Whole texts of at most ``max_docs`` rows and ``max_bytes`` bytes for each label; ids are picked before any text is moved."""
+    """Whole texts of at most ``max_docs`` rows and ``max_bytes`` bytes for each label; ids are picked before any text is moved.
+
+    A text of more than 1/64 of ``max_bytes`` is passed over, so that the bound fills with others.
+    """
     ids = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
     picked = None
     for y in (0, 1):
         own = ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(max_docs)
         picked = own if picked is None else picked.unionByName(own)
     rows = docs.join(F.broadcast(picked), "doc_id").where("text is not null and text <> ''")  # 2 * max_docs ids at most
-    rows = rows.select("y", F.col("text").cast("binary").alias("data"), "h", F.octet_length("text").alias("n"))
+    rows = rows.select("y", F.col("text").cast("binary").alias("data"), "h", F.octet_length("text").alias("n")).where(F.col("n") <= max_bytes // 64)
     sums = rows.withColumn("sum", F.sum("n").over(Window.partitionBy("y").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, 0)))
     return [(bytes(r.data), r.y) for r in sums.where(F.col("sum") <= max_bytes).orderBy("y", "h", "n").collect()]
 

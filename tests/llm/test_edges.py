@@ -134,6 +134,37 @@ def test_quality(spark, docs, none):
     assert {r.score for r in quality.classify(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_score_by_hand(spark):
+    """Scores from the fitted dictionaries and curve, with compressors of the test's own; one huge text does not end the training."""
+    import math
+    import random
+
+    import zstandard
+
+    from lodestar.llm import quality
+
+    rng = random.Random(4)
+    words = {y: ["".join(rng.choice("etaoin" if y else "qzxkvj") for _ in range(5)) for _ in range(60)] for y in (0, 1)}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(rng.randint(20, 200)))) for i in range(200)] + [(1000 + i, t) for i, t in enumerate(["", None, "x", "etaoin " * 200_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows if i < 200 or i == 1003], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels, max_bytes=1 << 21)
+    made = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(model[c]), level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False) for c in ("good", "bad")]
+
+    def by_hand(text):
+        data = (text or "").encode()
+        parts = [data[i : i + quality.PIECE] for i in range(0, len(data), quality.PIECE)]
+        good, bad = (sum(len(c.compress(p)) for p in parts) for c in made)
+        short = quality.SHORT / (quality.SHORT + len(data))
+        a, b, c = model["curve"]
+        return 1 / (1 + math.exp(-max(-30, min(30, a * (bad - good) / max(1, len(data)) * (1 - short) + b * short + c))))
+
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert all(abs(got[i] - by_hand(t)) < 1e-9 for i, t in rows)
+    held = [(i % 2, got[i]) for i, _ in rows if i < 200]
+    assert sum((s >= 0.5) == y for y, s in held) >= 0.95 * len(held)
+
+
 def test_decontamination(spark, docs, items, none):
     from lodestar.llm import decontam
 
@@ -166,6 +197,22 @@ def test_token_files(spark, docs, none):
     assert token_counts.token_counts(none).count() == 0
 
 
+def test_token_counts_wide(spark):
+    """Ids of more than 16 bits: the width follows the vocabulary and the separator, stands in the file, and nothing wraps."""
+    from lodestar.llm import token_counts
+
+    rows = [(1, "one two three"), (2, ""), (3, "four five"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i, len(ids) - 1) for i, ids in brute.tokens(rows, "byte_bpe_50k.json", 0))
+    counts = lambda **o: sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(df, **o).collect())
+    assert counts() == want and counts(wide=True) == want and counts(wide=True, block_ids=2) == want
+    assert counts(end_id=65_536) == want and counts(end_id=100_000, block_ids=3) == want
+    assert {r.width for r in token_counts.write_flat(df).collect()} == {2}
+    assert {r.width for r in token_counts.write_flat(df, end_id=100_000).collect()} == {4}
+    with pytest.raises(Exception, match="16 bits"):
+        token_counts.write_flat(df, end_id=100_000, wide=False)
+
+
 def test_token_coding():
     import numpy as np
 
