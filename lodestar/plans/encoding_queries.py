@@ -113,7 +113,7 @@ def v21_rotations(spark, sf_dir):
     return points(spark, sf_dir).select("p_partkey", R(r[0][0], 5).alias("r00"), R(r[0][1], 5).alias("r01"), R(c[0][0] + c[1][1] + c[2][2], 5).alias("trace"))
 
 
-@query()
+@query("select doc_id, (list_reduce(list_prepend(14695981039346656037::uhugeint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::uhugeint)), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint) % 8)::int as shard from documents")
 def v24_fnv_shard(spark, sf_dir):
     def run(batches):
         for b in batches:
@@ -165,10 +165,12 @@ def k12_graph_build(spark, sf_dir):
     return graph_index.build(emb(spark, sf_dir)).select("part", "vec_id", F.size("near").alias("degree"))
 
 
-@query("select 0::bigint as broken")
+@query("select count(*) as n_saved, count(*) as n_read, sum(vec_id)::bigint as ids, 0::bigint as broken from embeddings")
 def s13_graph_checks(spark, sf_dir):
-    """A written index read back: links that lead out of their graph."""
-    return graph_index.broken(written(graph_index.build(emb(spark, sf_dir)), "graph")).agg(F.count("*").alias("broken"))
+    """A saved index read back: its rows, what its packed form holds, and links that lead out of their graph."""
+    index = written(graph_index.build(emb(spark, sf_dir)), "graph")
+    broken, n_read = graph_index.broken(index).count(), graph_index.packed(index).agg(F.sum("n")).first()[0]
+    return index.agg(F.count("*").alias("n_saved"), F.lit(n_read).cast("long").alias("n_read"), F.sum("vec_id").alias("ids"), F.lit(broken).cast("long").alias("broken"))
 
 
 @query()

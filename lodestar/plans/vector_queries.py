@@ -267,7 +267,7 @@ def k14_graph_tombstones(spark, sf_dir):
     gone = e.where("vec_id % 7 = 3").select("vec_id")
     found = written(graph_index.search_live(graph_index.packed(graph_index.build(e)), gone, e, q, 10), "tombstones")
     r = knn.recall(found, knn.knn_batch(e.join(gone, "vec_id", "left_anti"), q, 10), 10)
-    return r.select("n_queries", (F.col("recall") >= 0.9).alias("enough"), F.lit(found.join(gone, "vec_id", "left_semi").count()).alias("removed_found"))
+    return r.select("n_queries", (F.col("recall") >= 0.9).alias("enough"), F.lit(found.join(gone, "vec_id", "left_semi").count()).cast("long").alias("removed_found"))
 
 
 @query()

@@ -431,3 +431,108 @@ def test_scratch_needs_a_shared_folder(monkeypatch):
     context = SimpleNamespace(master="spark://host:7077", applicationId="app-1", getConf=lambda: conf)
     with pytest.raises(RuntimeError):
         session.scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def table_of(spark, name):
+    return spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+
+
+def run_query(spark, name):
+    from lodestar import catalog
+
+    return {tuple(r)[0]: tuple(r)[1:] for r in catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()}
+
+
+def test_vector_queries_by_hand(spark):
+    """Projection head, sign buckets and augmentation against numpy over all vectors."""
+    import numpy as np
+
+    from lodestar.functions import sketches
+
+    x = {r.vec_id: np.array(r.embedding, dtype=float) for r in table_of(spark, "embeddings").collect()}
+    w = np.random.default_rng(45).standard_normal((32, 64)) * (2.0 / 64) ** 0.5
+    for i, (got,) in run_query(spark, "v09_projection_head").items():
+        y = w @ x[i]
+        assert np.allclose(got, y / (np.linalg.norm(y) + 1e-8), atol=1e-6)
+    planes = np.random.default_rng(7).standard_normal((64, 16 * 8))
+    rows = knn.sign_buckets(table_of(spark, "embeddings")).collect()
+    assert len(rows) == 16 * len(x)
+    for r in rows:
+        side = x[r.key] @ planes[:, r.table_id * 8 : r.table_id * 8 + 8]
+        assert r.bucket == sum(1 << b for b in range(8) if side[b] >= 0)
+    signs = []
+    for i, (got,) in run_query(spark, "a09_augmentation").items():
+        s = 1.0 if np.abs(np.array(got) - x[i]).max() <= 0.010001 else -1.0
+        signs.append(s)
+        d = s * np.array(got) - x[i]
+        assert np.abs(d).max() <= 0.010001 and d.std() > 0.003
+    assert 0.4 < np.mean(np.array(signs) > 0) < 0.6
+    assert sketches.fnv1a(b"") == 0xCBF29CE484222325 and sketches.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+
+
+def test_text_embedding_by_hand(spark):
+    """Hashed features against the same hashes taken in Python."""
+    import struct
+    from collections import Counter
+
+    import numpy as np
+    import xxhash
+
+    from lodestar.functions import encoders
+
+    def place(f, seed):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=xxhash.xxh64_intdigest(f.encode(), seed=42))
+        return h - (h >> 63 << 64)
+
+    features = {r.doc_id: Counter(r.f) for r in table_of(spark, "documents").select("doc_id", encoders.features(F.col("text")).alias("f")).collect()}
+    for i, (got,) in run_query(spark, "v29_text_embedding").items():
+        want = np.zeros(64)
+        for f, n in features[i].items():
+            for band in range(3):
+                want[place(f, band) % 64] += n * (1 if place(f, band + 10) % 2 == 0 else -1)
+        assert np.allclose(got, want / (np.linalg.norm(want) + 1e-8), atol=1e-6)
+
+
+def test_splats_of_found_clusters(spark):
+    """Splats of clusterings: every row counts once, and each splat is the mean and weight of its own rows."""
+    import numpy as np
+
+    from lodestar.operators import clustering
+
+    vectors = table_of(spark, "embeddings")
+    rows = clustering.two_level(vectors, 10, 4)
+    x = {r.vec_id: np.array(r.embedding, dtype=float) for r in vectors.collect()}
+    members = {}
+    for r in rows.collect():
+        members.setdefault(r.coarse_id * 4 + r.fine_id, []).append(x[r.vec_id])
+    mix = energy.splats(vectors.join(rows, "vec_id").withColumn("both", F.col("coarse_id") * 4 + F.col("fine_id")), "both").collect()
+    assert {r.cluster for r in mix} == set(members)
+    for r in mix:
+        own = np.array(members[r.cluster])
+        assert r.n == len(own) and abs(r.alpha - len(own) / len(x)) < 1e-12 and np.allclose(r.mu, own.mean(axis=0), atol=1e-6)
+        assert 0.1 <= r.kappa <= 100
+    got = run_query(spark, "a17_ingest")
+    assert sum(n for n, _, _ in got.values()) == len(x) and abs(sum(a for _, a, _ in got.values()) - 1) < 1e-9
+
+
+def test_exploration_by_hand(spark):
+    """Regions come by falling energy, and each one's five nearest vectors are the exact ones."""
+    import numpy as np
+
+    e = table_of(spark, "embeddings")
+    found = energy.regions(e, energy.splats(e, "label"), 5).orderBy("region").collect()
+    assert [r.energy for r in found] == sorted((r.energy for r in found), reverse=True) and len(found) <= 5
+    x = {r.vec_id: np.array(r.embedding, dtype=float) for r in e.collect()}
+    got = run_query(spark, "e13_exploration")
+    for r in found:
+        near = sorted(x, key=lambda i: (np.linalg.norm(x[i] - np.array(r.center)), i))[:5]
+        assert got[r.region][1] == near
+
+
+def test_avalanche_by_hand(spark):
+    """A cascade over five splats on a line, against steps taken by hand."""
+    rows = [(i, [float(i)], a, 1.0) for i, a in enumerate([0.05, 0.1, 0.6, 0.2, 0.05])]
+    mix = spark.createDataFrame(rows, "cluster int, mu array<double>, alpha double, kappa double")
+    got = {r.cluster: (round(r.energy, 9), r.step) for r in energy.avalanche(mix, share=0.5, near=2).collect()}
+    # splat 2 gives 0.3 to 1 and 3: 0.25 and 0.35; only 3 passes 1.5 times the mean (0.3), and gives 0.175 to 2 and 4
+    assert got == {0: (0.05, None), 1: (0.25, None), 2: (0.3875, 0), 3: (0.175, 1), 4: (0.1375, None)}
