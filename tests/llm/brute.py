@@ -107,3 +107,69 @@ def tokens(rows, name, end):
 
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
+def random_spans(text, table, letters, token, ratio, mean, ruled):
+    """The model's spans beside the base ones, each token scored and compared with every base span."""
+    text = text or ""
+    base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in secrets(text)[4])]
+    k = len(letters) + 1
+    at = lambda c: letters.find(c) % k
+    out = []
+    for m in re.finditer(token, text):
+        llr = sum(table[at(a) * k + at(b)] for a, b in zip(m[0], m[0][1:]))
+        if re.search("[A-Za-z]", m[0]) and not re.search(ruled, m[0]) and llr >= ratio and llr >= mean * len(m[0]) and all(m.end() <= a or b <= m.start() for a, b in base):
+            out.append(f"random:{m.start()}:{m.end()}")
+    return out
+
+
+def license_of(text, templates, short, threshold, share, window, max_words):
+    """(own, score, is_file) of one text by scoring every window, paragraph and the whole against every template."""
+    import math
+
+    words = lambda s: re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", s.lower())
+    n = len(templates)
+    bags = [Counter(words(t)) for _, t in templates]
+    df = Counter(w for b in bags for w in b)
+    idf = lambda w: 1 + math.log((1 + n) / (1 + df[w]))
+    vec = lambda bag: {w: c * idf(w) for w, c in bag.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    vecs = [(name, vec(b)) for (name, _), b in zip(templates, bags)]
+    if text is None:
+        return None, None, False
+    lines = text.split("\n")
+    size = lambda a, b: len(WORD.findall(" ".join(lines[a : b + 1])))
+    blank = [not re.search("[A-Za-z0-9]", x) for x in lines]
+    units = {(a, b) for a in range(len(lines)) for b in range(a, min(len(lines), a + window))}
+    for i in range(len(lines)):
+        if not blank[i]:
+            a, b = i, i
+            while a > 0 and not blank[a - 1]:
+                a -= 1
+            while b + 1 < len(lines) and not blank[b + 1]:
+                b += 1
+            if size(a, b) <= max_words:
+                units.add((a, b))
+    if size(0, len(lines) - 1) <= max_words:
+        units.add((0, len(lines) - 1))
+    known = set(df)
+    found = []
+    for a, b in units:
+        bag = Counter(words(" ".join(lines[a : b + 1])))
+        if not known & set(bag):
+            continue
+        v = vec(bag)
+        best = min((-sum(x * t.get(w, 0.0) for w, x in v.items()) / (norm(v) * norm(t)), name) for name, t in vecs)
+        if best[0] <= -threshold:
+            found.append((best, a, b))
+    for i, x in enumerate(lines):
+        name = short.get(" ".join(words(x)))
+        if name and re.search(r"(?i)licens|(?:released|distributed|available)\s+under", x):
+            found.append(((-1.0, name), i, i))
+    if not found:
+        return None, None, False
+    whole = [x for x, a, b in found if (a, b) == (0, len(lines) - 1)]
+    best = min(whole or [x for x, _, _ in found])
+    covered = {i for _, a, b in found for i in range(a, b + 1)}
+    held = sum(len(WORD.findall(lines[i])) for i in covered)
+    return best[1], -best[0], held >= share * max(1, len(WORD.findall(text)))

@@ -61,6 +61,30 @@ def test_op5(run, docs):
     assert all((r.own in want[r.doc_id]) if want[r.doc_id] else r.own is None or r.own != r.own for r in got.itertuples())
 
 
+def test_op5_by_hand(spark, run):
+    """Every column of the query against cosines of all units with all templates, and the nearest licensed directory above."""
+    from lodestar.llm import licenses as lib
+
+    rows = duckdb.sql(f"select doc_id, text, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id as path from '{SF}/documents.parquet'").fetchall()
+    own = {i: brute.license_of(t, lib.TEMPLATES, lib.SHORT, lib.THRESHOLD, lib.FILE_SHARE, lib.WINDOW, lib.MAX_WORDS) for i, t, _ in rows}
+    votes = {}
+    for i, _, path in rows:
+        if own[i][2]:
+            votes.setdefault(path.rpartition("/")[0], []).append(own[i][0])
+    licensed = {d: min((-v.count(x), x) for x in v)[1] for d, v in votes.items()}
+    got = {r.doc_id: r for r in run("op5_licenses").itertuples()}
+    none = lambda x: None if x is None or x != x else x
+    for i, _, path in rows:
+        r, (name, score, is_file) = got[i], own[i]
+        assert (none(r.own), r.is_file, r.path) == (name, is_file, path), i
+        assert (score is None and none(r.score) is None) or abs(r.score - score) < 1e-9, i
+        up = path.rpartition("/")[0]
+        while up and up not in licensed:
+            up = up.rpartition("/")[0]
+        inherited = (licensed[up], up) if up in licensed else (None, None)
+        assert (none(r.license), none(r.inherited_from)) == ((name, None) if name else inherited), i
+
+
 def test_op6(run, docs):
     got = run("op6_quality_rules")
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got.itertuples()} == {i: brute.rules(t) for i, t in docs}
@@ -85,6 +109,17 @@ def test_op7(run, docs):
         assert [x for x in r.spans.split(",") if x and not x.startswith("random")] == want[r.doc_id][4]
 
 
+def test_op7_spans(spark, run, docs):
+    """The spans that the model adds, from the same table in Python."""
+    from lodestar.llm import secrets
+
+    table = secrets.fit(secrets.samples(spark))
+    texts = dict(docs)
+    for r in run("op7_secrets").itertuples():
+        want = brute.random_spans(texts[r.doc_id], table, secrets.LETTERS, secrets.TOKEN, secrets.RATIO, secrets.MEAN, secrets.RULED)
+        assert [x for x in r.spans.split(",") if x.startswith("random")] == want
+
+
 def test_op8(run, docs):
     got = run("op8_packing")
     ids = dict(brute.tokens(docs, "word_bpe_49k.json", 1))
