@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import clustering, energy, knn, ordered, routing, store
-from ..session import load, scratch_root, written
+from ..session import app_folder, load, written
 from ..sources import binary_vectors
 from .registry import query
 from .vector_queries import BASE, ENERGY, MIX, R, asked, batch_sql, emb, first
 
 
 def folder(spark, name: str) -> str:
-    return f"{scratch_root(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+    return f"{app_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cents():

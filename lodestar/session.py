@@ -32,6 +32,20 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def app_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/lodestar/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that :func:`written` made for this application; results that still read them are void from then on."""
+    _delete(spark, app_folder(spark))
+
+
 def written(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Cut the lineage of ``df``: write it to the shared folder as Parquet and read it back.
 
@@ -40,7 +54,7 @@ def written(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     folders, so that a filter on them reads only those.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lodestar/{tag}-{uuid.uuid4().hex}"
+    path = f"{app_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestar_path = path
@@ -51,9 +65,7 @@ def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_lodestar_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
 
 
 def local_session(cores: int | None = None, memory: str = "8g") -> SparkSession:

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_root
+from ..session import app_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
@@ -30,7 +30,7 @@ def rolling(stream: DataFrame, by: str, value: str, ts: str = "ts", width: str =
 def latest_of(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
     """Run a stream over what there is now; the last version of each key's row."""
     spark = stream.sparkSession
-    root = f"{scratch_root(spark)}/lodestar/stream-{uuid.uuid4().hex}"
+    root = f"{app_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch_", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/n={n}")

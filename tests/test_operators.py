@@ -421,6 +421,17 @@ def test_word_index(spark):
     assert {(r.doc_id, r.term, r.tf) for r in text.postings(docs).collect()} >= {(2, "hello", 2), (5, "wide", 3), (6, "hello", 500)}
 
 
+def test_sweep(spark, tmp_path, monkeypatch):
+    """Written tables lie in a folder of the application, which a sweep empties."""
+    from lodestar import session
+
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    df = session.written(spark.range(3).toDF("n"), "numbers")
+    assert df.count() == 3 and [p.name for p in (tmp_path / "lodestar").iterdir()] == [spark.sparkContext.applicationId]
+    session.sweep(spark)
+    assert not list((tmp_path / "lodestar").iterdir())
+
+
 def test_scratch_needs_a_shared_folder(monkeypatch):
     """Off one machine a session without spark.checkpoint.dir is refused."""
     from types import SimpleNamespace
