@@ -43,9 +43,9 @@ def counted(words: Column) -> Column:
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, dl, term, tf): nothing is shuffled."""
+    """(doc_id, dl, term, tf): tokens are counted by document and term, first in each task."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode(counted(F.col("t"))).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    return rows.select("doc_id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 class Index(NamedTuple):

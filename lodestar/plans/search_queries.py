@@ -74,7 +74,7 @@ def t01_tokens(spark, sf_dir):
 
 @query(f"{BM} select term, df, (select sum(tf)::bigint from tf x where x.term = df.term) as total, round((select avgdl from st), 6) as avgdl from df")
 def t02_bm25_index(spark, sf_dir):
-    """One pass over the texts, which counts words in their rows, and one shuffle by term; the mean length follows from the index and the number of rows."""
+    """One pass over the texts, then counts by term; the mean length follows from the index and the number of rows."""
     d = docs(spark, sf_dir)
     index = written(text.postings(d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")), "index")
     n, total = d.count(), index.agg(F.sum("total")).first()[0]
