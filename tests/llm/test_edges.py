@@ -258,6 +258,40 @@ def test_wrapped_licenses(spark):
     assert [x for x in ((got[i], (n, f), t) for i, (n, f, t) in enumerate(rows)) if x[0] != x[1]] == []
 
 
+def test_licenses_without_limits(spark):
+    """Runs of any number of lines and words count, as brute force over all runs says; CRLF ends lines too."""
+    import random
+    import sys
+    import textwrap
+
+    from lodestar.llm import licenses
+
+    gpl = licenses.GNU.format("program", "GNU General", "either version 2")
+    mit = f"{licenses.MIT_GRANT} {licenses.MIT_REST}"
+    rows = [
+        ("GPL-2.0", 1.0, False, "\n".join([WORDS, WORDS, *textwrap.wrap(gpl, 22), WORDS, WORDS])),  # 15 lines, without a blank one around
+        ("MIT", 1.0, True, "\n".join(textwrap.wrap(" ".join([mit] * 6), 18))),  # a whole text of over 800 words
+        ("MIT", 1.0, True, "\n".join([WORDS, WORDS, WORDS, "", *textwrap.wrap(" ".join([mit] * 6), 18), "", WORDS, WORDS, WORDS])),  # such a paragraph
+        ("GPL-2.0", 1.0, False, "\r\n".join(["import os", "", *textwrap.wrap(gpl, 60), "", WORDS, WORDS])),
+        (None, None, False, "\n".join([WORDS, *textwrap.wrap(gpl, 22)[:5], WORDS])),
+    ]
+    rnd = random.Random(7)
+    texts = [x for *_, x in rows]
+    for _ in range(20):
+        lines = []
+        for _ in range(rnd.randint(1, 5)):
+            some = rnd.choice(licenses.TEMPLATES)[1] if rnd.random() < 0.6 else " ".join(rnd.choice(["the", "of", "software", "license", "foo", "bar", "copyright", "v1"]) for _ in range(rnd.randint(1, 30)))
+            lines += [*textwrap.wrap(some, rnd.choice([15, 25, 40, 200])), *[""] * rnd.randint(0, 1)]
+        texts.append("\n".join(lines[:40]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.own, r.score, r.is_file) for r in licenses.own_licenses(df).collect()}
+    assert [x for x in ((got[i], r[:3]) for i, r in enumerate(rows)) if x[0] != x[1]] == []
+    for i, x in enumerate(texts[len(rows) :], len(rows)):
+        own, score, is_file = brute.license_of(x, licenses.TEMPLATES, licenses.SHORT, licenses.THRESHOLD, licenses.FILE_SHARE, sys.maxsize, sys.maxsize)
+        assert got[i][2] == is_file and (got[i][0] is None) == (own is None), i
+        assert score is None or abs(got[i][1] - score) < 1e-9 and (got[i][0] == own or score > 1 - 1e-9), i  # brute force leaves ties of 1 to rounding
+
+
 def test_rules(spark, docs, none):
     from lodestar.llm import rules
 
