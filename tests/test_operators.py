@@ -504,6 +504,21 @@ def test_text_embedding_by_hand(spark):
         assert np.allclose(got, want / (np.linalg.norm(want) + 1e-8), atol=1e-6)
 
 
+def shuffle_keys(df):
+    """What each exchange of the plan hashes by, without expression ids."""
+    import re
+
+    return [re.sub(r"#\d+L?", "", k) for k in re.findall(r"hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_text_embedding_shuffles_places(spark):
+    """Features are summed where they stand: nothing is shuffled by feature."""
+    from lodestar import catalog
+
+    keys = shuffle_keys(catalog.queries()["v29_text_embedding"](spark, "/root/testdata/sf0.001"))
+    assert keys and not any("f" in k.split(", ") for k in keys)
+
+
 def test_splats_of_found_clusters(spark):
     """Splats of clusterings: every row counts once, and each splat is the mean and weight of its own rows."""
     import numpy as np
