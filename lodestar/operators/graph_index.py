@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import knn
 
-#: Rows of one graph; what a task holds is bounded by it.
-MAX_PART = 20_000
+#: Rows of one graph: a walk of fixed width finds less in a larger one, so recall does not fall with the table; what a task holds is bounded too.
+MAX_PART = 4_000
 
 
 def walk(x: np.ndarray, near, v: np.ndarray, width: int) -> list[tuple[float, int]]:

@@ -59,6 +59,13 @@ def test_graph_index(spark):
     assert r.n_queries == 30 and r.recall >= 0.95
 
 
+def test_graph_parts_stay_small(spark):
+    """One graph of 8,500 rows would be found through a walk of the same width as one of 100; it is dealt into parts instead."""
+    df = spark.range(8500).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).cast("array<float>").alias("embedding"))
+    sizes = [r["count"] for r in graph_index.build(df).groupBy("part").count().collect()]
+    assert sum(sizes) == 8500 and max(sizes) < 4500
+
+
 def test_query_blocks(spark):
     """Any number of queries is taken, in blocks, with the results of one block."""
     x = np.random.default_rng(2).standard_normal((4200, 4))
