@@ -5,6 +5,8 @@ from __future__ import annotations
 import zlib
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 class Index(NamedTuple):
-    """A written word index: postings in folders by a hash of the term and sorted by term; lengths of all documents; their number and mean length."""
+    """A written word index: lists of postings in folders by a hash of the term and sorted by term; lengths of all documents; their number and mean length."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -57,18 +59,61 @@ class Index(NamedTuple):
     avgdl: float
 
 
-#: Folders of an index's postings.
+#: Folders of an index's postings; the next one holds the lengths of all documents.
 FOLDERS = 64
+#: Tokens of which lists are made at once, at most but for a longer text.
+TOKENS = 1 << 22
+
+
+def _listed(batches):
+    """(folder, term, docs, dls, tfs) of Arrow batches (doc_id, t): one list for each term and batch, and one without a term with the lengths of all rows."""
+    names = ["folder", "term", "docs", "dls", "tfs"]
+
+    def lists(keys, sizes, terms, columns):
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pa.record_batch([pa.array(keys, pa.int32()), terms, *[pa.ListArray.from_arrays(ends, c) for c in columns]], names=names)
+
+    for whole in batches:
+        ends = np.cumsum(np.asarray(whole.column("t").value_lengths()))
+        at = 0
+        while at < whole.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            until = max(at + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
+            b, at = whole.slice(at, until - at), until
+            ids, t = b.column("doc_id"), b.column("t")
+            dl = np.asarray(t.value_lengths()).astype(np.int32)
+            yield lists([FOLDERS], [len(dl)], pa.array([None], pa.string()), [ids, pa.array(dl), pa.array(np.zeros(len(dl), np.int32))])
+            words = t.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+            term, doc = pair // len(dl), pair % len(dl)
+            folder = [zlib.crc32(w.encode()) % FOLDERS for w in words.dictionary.to_pylist()]
+            yield lists(folder, np.bincount(term, minlength=len(folder)), words.dictionary, [ids.take(pa.array(doc)), pa.array(dl[doc]), pa.array(tf.astype(np.int32))])
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
-    """One shuffle, of postings by their folder; the postings of a very common term are dealt into several tasks."""
-    rows = postings(docs, doc_id, text).withColumn("folder", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FOLDERS)).cast("int"))
+    """One pass over the texts and one shuffle, of lists of postings by their folder: documents' words are counted and listed by term in each task.
+
+    The lists of a very common term are dealt into several tasks.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    lists = rows.mapInArrow(_listed, f"folder int, term string, docs array<{kind}>, dls array<int>, tfs array<int>")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = rows.repartition(max(n, 1), "folder", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("folder", "term", "doc_id")
-    lengths = written(docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("dl")), "doc-lengths")
+    held = lists.repartition(max(n, 1), "folder", F.pmod(F.xxhash64("docs"), F.lit(4))).sortWithinPartitions("folder", "term")
+    held = written(held, "postings", ("folder",))
+    lengths = held.where(F.col("folder") == FOLDERS).select(F.explode(F.arrays_zip("docs", "dls")).alias("l")).select(F.col("l.docs").alias("doc_id"), F.col("l.dls").cast("long").alias("dl"))
     s = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    return Index(written(held, "postings", ("folder",)), lengths, s.n, s.avgdl or 0.0)
+    return Index(held, lengths, s.n, s.avgdl or 0.0)
+
+
+def listed_postings(index: Index, terms: list[str]) -> DataFrame:
+    """(doc_id, dl, term, tf) of some terms; rows that share an id and a length count as one document, as in :func:`postings`."""
+    folders = sorted({zlib.crc32(w.encode()) % FOLDERS for w in terms})
+    lists = index.postings.where(F.col("folder").isin(folders) & F.col("term").isin(sorted(terms)))
+    each = lists.select("term", F.explode(F.arrays_zip("docs", "dls", "tfs")).alias("p")).select(F.col("p.docs").alias("doc_id"), F.col("p.dls").cast("long").alias("dl"), "term", F.col("p.tfs").cast("long").alias("tf"))
+    return each.groupBy("doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
 
 
 def search_index(index: Index, query: str | list[str], k: int | None = 10, allowed: DataFrame | None = None, removed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -80,8 +125,7 @@ def search_index(index: Index, query: str | list[str], k: int | None = 10, allow
     weight = {w: words.count(w) for w in words}
     if not weight:
         return index.lengths.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    folders = sorted({zlib.crc32(w.encode()) % FOLDERS for w in weight})
-    tf = index.postings.where(F.col("folder").isin(folders) & F.col("term").isin(sorted(weight))).select("doc_id", "dl", "term", "tf")
+    tf = listed_postings(index, sorted(weight))
     n, avgdl = index.n, index.avgdl
     if removed is not None:
         gone = removed.select("doc_id").distinct()

@@ -428,6 +428,15 @@ def test_word_index(spark):
     assert {(r.doc_id, r.term, r.tf) for r in text.postings(docs).collect()} >= {(2, "hello", 2), (5, "wide", 3), (6, "hello", 500)}
 
 
+def test_word_index_keeps_lists(spark):
+    """Postings are listed by term where the texts are: rows that are shuffled and written go by terms and batches, not by words of documents."""
+    docs = spark.createDataFrame([(i % 299, " ".join(f"w{j}" for j in range(i % 40 + 1)) + " w0") for i in range(300)] + [(-1, None)], "doc_id long, text string").repartition(2)
+    index = text.build_index(docs)
+    assert index.postings.count() <= 2 * 41 and index.n == 301 and index.lengths.count() == 301
+    want = {tuple(r) for r in text.postings(docs).where("term in ('w0', 'w39')").collect()}
+    assert {tuple(r) for r in text.listed_postings(index, ["w0", "w39"]).collect()} == want and len(want) == 307
+
+
 def test_sweep(spark, tmp_path, monkeypatch):
     """Written tables lie in a folder of the application, which a sweep empties."""
     from lodestar import session
