@@ -520,6 +520,17 @@ def test_text_embedding_by_hand(spark):
         assert np.allclose(got, want / (np.linalg.norm(want) + 1e-8), atol=1e-6)
 
 
+def test_colours_come_from_a_table(spark):
+    """Every cell of the cube from every own cell, by hand; the exponentials stand in the plan and none is taken for a row."""
+    from lodestar.functions import encoders
+
+    at = [F.col("id").cast("double") / 8 + 0.01, F.lit(2.0), F.lit(None).cast("double")]  # inside, beyond and without a value
+    df = spark.range(8).select("id", encoders.colours(*at).alias("e"))
+    for r in df.collect():
+        assert np.allclose(r.e, [math.exp(-((i - r.id) ** 2 + (j - 7) ** 2 + k**2) / 4) for i in range(8) for j in range(8) for k in range(8)], rtol=1e-14)
+    assert "exp(" not in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def shuffle_keys(df):
     """What each exchange of the plan hashes by, without expression ids."""
     import re
