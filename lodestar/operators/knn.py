@@ -60,7 +60,10 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
         return 1.0 - np.where(n < 1e-8, 0.0, q @ x.T / np.where(n < 1e-8, 1.0, n))
-    return np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in q])
+    out = np.empty((len(q), len(x)))
+    for i, row in enumerate(q):
+        out[i] = np.sqrt(((x - row) ** 2).sum(axis=1))
+    return out
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +96,9 @@ def query_blocks(queries: DataFrame, vec: str = "embedding", qid: str = "qid", b
 def compared(b: pa.RecordBatch, q: np.ndarray):
     """(keys, vectors) of an Arrow batch (key, vector) that can be compared with the queries, some rows at a time.
 
-    No more than 4 million distances are in the making.
+    No more than a million distances are in the making.
     """
-    step = max(1, (1 << 22) // max(1, len(q)))
+    step = max(1, (1 << 20) // max(1, len(q)))
     for lo in range(0, b.num_rows, step):
         part = b.slice(lo, step)
         x, which = matrix(part.column(1), q.shape[1])
@@ -108,11 +111,40 @@ def united(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+class Best:
+    """The k nearest keys of each of n queries, of all that were added; ties go to the smaller key."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.limit = k, np.full((n, 1), np.inf)
+        self.held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def add(self, keys: np.ndarray, d: np.ndarray) -> None:
+        """Take in the distances of the queries (rows) to the keys (columns)."""
+        near = d <= self.limit
+        if self.k < d.shape[1] and np.count_nonzero(near) > 4 * self.k * len(d):
+            near &= d <= np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        i, keys, d = (np.concatenate(x) for x in zip(self.held, (i, keys[j], d[i, j])))
+        order = np.lexsort((keys, d, i))
+        i = i[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        first = order[place < self.k]
+        self.held = i[place < self.k], keys[first], d[first]
+        full = place == self.k - 1
+        self.limit[i[full], 0] = d[order[full]]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, key, distance)."""
+        return self.held
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec: str = "embedding", key: str = "vec_id", qid: str = "qid", block: int = QUERY_BLOCK) -> DataFrame:
     """(qid, key, distance, rank) of each query's k nearest rows, ties by key.
 
-    Each Arrow batch of vectors meets a broadcast block of queries and passes on its own k best
-    (with ties) for each query, so the shuffle holds k rows for each query and batch. Query sets
+    Each task's vectors meet a broadcast block of queries; it holds the k best of each query so far
+    (ties by key) and passes those on, so the shuffle holds k rows for each query and task. Query sets
     beyond ``block`` are taken in blocks.
     """
 
@@ -120,15 +152,12 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
         ids, q = held.value
         if not len(ids):
             return
+        best = Best(len(ids), k)
         for b in batches:
             for keys, x in compared(b, q):
-                d = _distances(q, x, metric)
-                if k < d.shape[1]:
-                    keep = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                else:
-                    keep = np.ones(d.shape, dtype=bool)
-                i, j = np.nonzero(keep)
-                yield pa.record_batch([pa.array(ids[i]), pa.array(keys[j]), pa.array(d[i, j])], names=["qid", "key", "distance"])
+                best.add(keys, _distances(q, x, metric))
+        i, keys, d = best.rows()
+        yield pa.record_batch([pa.array(ids[i]), pa.array(keys), pa.array(d)], names=["qid", "key", "distance"])
 
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<float>").alias("v"))
     out = united(rows.mapInArrow(partial(run, held=held), "qid long, key long, distance double") for held in query_blocks(queries, vec, qid, block))

@@ -59,6 +59,24 @@ def test_graph_index(spark):
     assert r.n_queries == 30 and r.recall >= 0.95
 
 
+def test_batch_passes_on_k_rows(spark):
+    """A task passes on k rows for each query, also of many Arrow batches and of equal vectors; ties go by key."""
+    rows = spark.range(3000, numPartitions=1).select((2999 - F.col("id")).alias("vec_id"), F.array((F.col("id") % 3).cast("float")).alias("embedding"))
+    q = spark.createDataFrame([(1, [0.0]), (2, [5.0])], "qid long, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = knn.knn_batch(rows, q, 4)
+        got = sorted((r.qid, r["rank"], r.vec_id, r.distance) for r in found.collect())
+        best = knn.Best(2, 4)
+        for lo in range(0, 3000, 100):
+            keys = 2999 - np.arange(lo, lo + 100)
+            best.add(keys, np.abs(np.array([[0.0], [5.0]]) - (np.arange(lo, lo + 100) % 3)[None]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(1, i + 1, 3 * i + 2, 0.0) for i in range(4)] + [(2, i + 1, 3 * i, 3.0) for i in range(4)]
+    assert [x.tolist() for x in best.rows()] == [[0] * 4 + [1] * 4, [2, 5, 8, 11, 0, 3, 6, 9], [0.0] * 4 + [3.0] * 4]
+
+
 def test_graph_parts_stay_small(spark):
     """One graph of 8,500 rows would be found through a walk of the same width as one of 100; it is dealt into parts instead."""
     df = spark.range(8500).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2), F.rand(3)).cast("array<float>").alias("embedding"))
