@@ -57,8 +57,20 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
+#: Rows of one task of a co-occurrence, and pairs of one.
+ROWS, PAIRS = 1_000_000, 2_000_000
+
+
 def cooccurrence(pairs: DataFrame, doc: str = "doc_id", entity: str = "entity") -> DataFrame:
-    """(a, b, n): entities in the same document, a < b."""
-    p = pairs.select(doc, entity).distinct()
-    a, b = p.withColumnRenamed(entity, "a"), p.withColumnRenamed(entity, "b")
-    return a.join(b, doc).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    """(a, b, n): entities in the same document, a < b.
+
+    Documents' entities are gathered once and written; the tasks of both steps grow in number, not in size.
+    """
+    p = pairs.select(F.col(doc).alias("doc_"), F.col(entity).alias("e_")).where("doc_ is not null and e_ is not null")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = p.repartition(max(n, -(-p.count() // ROWS)), "doc_").groupBy("doc_").agg(F.sort_array(F.collect_set("e_")).alias("s")).where(F.size("s") > 1)
+    own = written(own.select("s"), "together")
+    made = own.agg(F.sum(F.size("s").cast("long") * (F.size("s") - 1) / 2)).first()[0] or 0
+    first = own.select("s", F.posexplode("s").alias("i", "a"))
+    both = first.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s") - F.col("i") - 1)).alias("b"))
+    return both.repartition(max(n, -(-int(made) // PAIRS)), "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -59,6 +59,24 @@ def test_graph_index(spark):
     assert r.n_queries == 30 and r.recall >= 0.95
 
 
+def test_cooccurrence_tasks_stay_small(spark, monkeypatch):
+    """Pairs are dealt into more tasks where there are more, and equal those by hand, with repeats and nulls."""
+    from collections import Counter
+    from itertools import combinations
+
+    monkeypatch.setattr(graph, "ROWS", 50)
+    monkeypatch.setattr(graph, "PAIRS", 100)
+    rows = [(i % 60, f"e{i * i % 37}") for i in range(500)] + [(None, "e1"), (None, "e2"), (3, None), (3, "e0"), (3, "e0")]
+    out = graph.cooccurrence(spark.createDataFrame(rows, "d long, e string"), "d", "e")
+    sets = {}
+    for d, e in rows:
+        if d is not None and e is not None:
+            sets.setdefault(d, set()).add(e)
+    want = Counter(p for s in sets.values() for p in combinations(sorted(s), 2))
+    assert {(r.a, r.b): r.n for r in out.collect()} == want
+    assert out.rdd.getNumPartitions() == max(4, -(-sum(want.values()) // 100)) > 4
+
+
 def test_batch_passes_on_k_rows(spark):
     """A task passes on k rows for each query, also of many Arrow batches and of equal vectors; ties go by key."""
     rows = spark.range(3000, numPartitions=1).select((2999 - F.col("id")).alias("vec_id"), F.array((F.col("id") % 3).cast("float")).alias("embedding"))
