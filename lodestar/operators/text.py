@@ -274,17 +274,12 @@ def rle(data: bytes) -> bytes:
 
 def unrle(data: bytes) -> bytes:
     """What :func:`rle` took."""
-    out, i = bytearray(), 4
-    while i < len(data):
-        if data[i] == 0xFF:
-            out += data[i + 1 : i + 2] * data[i + 2]
-            i += 3
-        else:
-            out.append(data[i])
-            i += 1
+    import re
+
+    out = re.sub(rb"\xff(.)(.)", lambda m: m[1] * m[2][0], data[4:], flags=re.S)
     if len(out) != int.from_bytes(data[:4], "little"):
         raise ValueError("the run-length data is torn")
-    return bytes(out)
+    return out
 
 
 #: Words that start no name, and words that may join two parts of one.
@@ -342,7 +337,11 @@ def dense(text: str) -> str:
         return s[0].upper() + s[1:] if "A" <= m[0][0] <= "Z" else s
 
     if not hasattr(dense, "pattern"):
-        dense.pattern = re.compile("(?<![A-Za-z])(?:" + "|".join(sorted(SHORT_FORMS, key=len, reverse=True)) + ")(?![A-Za-z])", re.I)
+        # spelt out in both cases, by first letters: a search looks for those alone, and tries a few words there
+        either = lambda w: "".join({"k": "[kK\u212a]", ".": r"\."}.get(c, f"[{c}{c.upper()}]" if c.isalpha() else c) for c in w)
+        first = {c: [w[1:] for w in sorted(SHORT_FORMS) if w[0] == c] for c in sorted({w[0] for w in SHORT_FORMS})}
+        words = "|".join(f"(?<={either(c)})(?:{'|'.join(map(either, rest))})" for c, rest in first.items())
+        dense.pattern = re.compile(f"[{''.join(first)}{''.join(first).upper()}](?<!(?i:[A-Za-z]).)(?:{words})(?!(?i:[A-Za-z]))")
     words = [w for w in dense.pattern.sub(short, text).split() if w[0].isupper() or w.lower() not in DENSE_STOP]
     seen = {}
     for s in " ".join(words).split(". "):

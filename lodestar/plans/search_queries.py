@@ -198,16 +198,16 @@ def t16_semantic_validation(spark, sf_dir):
     return e.select("vec_id", best.alias("b")).select("vec_id", F.col("b.cluster").alias("cluster"), R(F.least(F.lit(1.0), 0.8 + F.when(-F.col("b.s") > 0.8, 0.2).otherwise(0.0))).alias("score"))
 
 
-def compressed(spark, sf_dir):
-    """(doc_id, original, dense, packed, intact): bytes of each text, after semantic and after run-length compression; whether it unpacks."""
+def compressed(spark, sf_dir, packed=True, unpacked=True):
+    """(doc_id, original, dense, packed, intact): bytes of each text, after semantic and, if ``packed``, after run-length compression; if ``unpacked``, whether it unpacks."""
 
     def run(batches):
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 d = text.dense(t or "").encode()
-                p = text.rle(d)
-                rows.append((i, len((t or "").encode()), len(d), len(p), text.unrle(p) == d))
+                p = text.rle(d) if packed else None
+                rows.append((i, len((t or "").encode()), len(d), len(p) if packed else None, text.unrle(p) == d if packed and unpacked else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["doc_id", "original", "dense", "packed", "intact"])
 
@@ -216,7 +216,7 @@ def compressed(spark, sf_dir):
 
 @query()
 def t17_semantic_compression(spark, sf_dir):
-    return compressed(spark, sf_dir).select("doc_id", "original", "dense")
+    return compressed(spark, sf_dir, packed=False).select("doc_id", "original", "dense")
 
 
 @query("select doc_id, strlen(coalesce(text, ''))::bigint as original, true as intact from documents")
@@ -226,7 +226,7 @@ def t18_run_length(spark, sf_dir):
 
 @query()
 def t19_two_layer_ratios(spark, sf_dir):
-    c = compressed(spark, sf_dir)
+    c = compressed(spark, sf_dir, unpacked=False)
     return c.select("doc_id", (F.col("original") / F.greatest("dense", F.lit(1))).alias("semantic_ratio"), (F.col("original") / F.greatest("packed", F.lit(1))).alias("total_ratio"))
 
 

@@ -59,6 +59,14 @@ def test_graph_index(spark):
     assert r.n_queries == 30 and r.recall >= 0.95
 
 
+def test_compression_of_odd_letters():
+    """Letters that only fold to those of a word start no short form, and are kept; runs unpack at once, whatever they hold."""
+    assert text.dense("plea\u017fe wait. \u0131nformation. than\u212a You") == "plea\u017fe wait. \u0131nformation. thx"
+    assert text.dense("PLEASE, xplease please_ pleased \u212aplease") == "Plz, xplease plz_ pleased \u212aplease"
+    data = b"\n\n\n\n\n\xff\xff\xff\xffab" + b"c" * 600
+    assert text.unrle(text.rle(data)) == data and isinstance(text.unrle(text.rle(b"")), bytes)
+
+
 def test_cooccurrence_tasks_stay_small(spark, monkeypatch):
     """Pairs are dealt into more tasks where there are more, and equal those by hand, with repeats and nulls."""
     from collections import Counter
